@@ -181,3 +181,37 @@ def pack(sorted_hashes: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(U64).reshape(-1), dtype=U64)
+
+
+def gram_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hashes of all `width`-grams of a byte run (given by byte_values), by start."""
+    n = len(values)
+    if n < width:
+        return np.zeros(0, U64)
+    up, down = powers(BYTE_BASE, n)
+    total = np.empty(n + 1, U64)
+    total[0] = 0
+    np.cumsum(values * up, out=total[1:])
+    return mix((total[width:] - total[:-width]) * down[: n - width + 1])
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minima of all windows of `width` values, by van Herk's two scans over blocks."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    full = -(-len(x) // width) * width
+    padded = np.full(full, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    grid = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def cover_ranges(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the intervals."""
+    d = np.zeros(n + 1, np.int32)
+    np.add.at(d, starts, 1)
+    np.add.at(d, ends, -1)
+    return np.cumsum(d[:-1]) > 0

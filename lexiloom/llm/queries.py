@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, fingerprint, media, mixing
+from lexiloom.llm import bpe, fingerprint, media, mixing, substrings, suffixes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(table(spark, sf_dir, "documents"))
 
@@ -26,9 +30,13 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op9_media": op9_media}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op8_suffixes": op8_suffixes, "op9_media": op9_media}
 ORACLE_SQL: dict[str, str] = {}
