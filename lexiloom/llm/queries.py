@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, fingerprint, media, mixing, substrings, suffixes
+from lexiloom.llm import bpe, fingerprint, hmm, media, mixing, substrings, suffixes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,5 +38,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_media(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op8_suffixes": op8_suffixes, "op9_media": op9_media}
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
 ORACLE_SQL: dict[str, str] = {}
