@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, fingerprint, hmm, media, mixing, substrings, suffixes
+from lexiloom.llm import bpe, fingerprint, hmm, media, mixing, neardup, substrings, suffixes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
 ORACLE_SQL: dict[str, str] = {}
