@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, fingerprint, hmm, media, mixing, neardup, substrings, suffixes
+from lexiloom.llm import bpe, fingerprint, hmm, media, mixing, neardup, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,6 +34,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("segments")
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_toxicity": op7_toxicity, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
 ORACLE_SQL: dict[str, str] = {}
