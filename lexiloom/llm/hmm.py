@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import exchange as X
 from lexiloom.llm import kernels as K
+from lexiloom.llm.storage import checkpoint
 
 STATES, CLASSES, PASSES, START_PASSES = 8, 1024, 2, 60
 #: Documents whose recursions run side by side.
@@ -257,7 +258,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes
     train = docs.where(~F.col("held_out")).select("text")
     blocks = X.in_blocks(docs, "text", None, block_bytes)
     n = blocks.count
-    counts = count(train, n).checkpoint()
+    counts = checkpoint(count(train, n))
     pairs = np.zeros((CLASSES, CLASSES))
     for r in counts.where(F.col("kind") == X.KEEP).select("to", "extra").collect():  # CLASSES rows at most
         pairs[r.to] = np.frombuffer(r.extra, np.int64)

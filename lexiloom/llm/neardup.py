@@ -33,6 +33,7 @@ from pyspark.sql.types import DoubleType
 
 from lexiloom.llm import kernels as K
 from lexiloom.llm.graph import components
+from lexiloom.llm.storage import checkpoint
 
 ROWS, BANDS = 5, 48
 REGISTERS = ROWS * BANDS
@@ -204,12 +205,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rid = F.coalesce(doc_id, F.lit(_NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(_NULL_IDS - 1)))
     docs = df.select(doc_id.alias("doc_id"), rid.alias("rid"), text.alias("text"))
-    sketch = sketches(docs).checkpoint()
+    sketch = checkpoint(sketches(docs))
 
     keys = F.array(*(F.xxhash64(F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)) for k in range(BANDS)))
     bands = sketch.where("node is not null").select("node", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot")
-    members = bands.join(shared, "band").groupBy("band", "node").agg(F.min("pivot").alias("pivot")).checkpoint()
+    members = checkpoint(bands.join(shared, "band").groupBy("band", "node").agg(F.min("pivot").alias("pivot")))
 
     wanted = members.select("node").distinct().join(sketch.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n")), "node")
 
@@ -222,12 +223,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = part.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in regs], pa.binary())], names=["node", "n", "text", "regs"])
 
-    nodes = docs.select("rid", "text").join(wanted, "rid").select("node", "n", "text").mapInArrow(again, "node long, n long, text string, regs binary").dropDuplicates(["node"]).checkpoint()
+    nodes = checkpoint(docs.select("rid", "text").join(wanted, "rid").select("node", "n", "text").mapInArrow(again, "node long, n long, text string, regs binary").dropDuplicates(["node"]))
 
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     maybe = estimated(pairs, nodes, percent, sure)
     best = maybe.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
-    links = verified(best, nodes, percent).checkpoint()
+    links = checkpoint(verified(best, nodes, percent))
 
     label = components(links)
     placed = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
@@ -236,7 +237,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = placed.join(open_, "band").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "node", "comp", "tile", F.least("tile", "o").alias("ti"), F.greatest("tile", "o").alias("tj"))
     across = left.join(nodes.select("node", "n", "regs"), "node").groupBy("band", "ti", "tj").applyInArrow(_across(percent, sure), "a long, b long").distinct()
-    links = links.unionByName(verified(across, nodes, percent)).checkpoint()
+    links = checkpoint(links.unionByName(verified(across, nodes, percent)))
 
     label = components(links)
     first = sketch.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"))

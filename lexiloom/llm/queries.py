@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, fingerprint, hmm, media, mixing, neardup, substrings, suffixes, toxicity
+from lexiloom.llm import bpe, fingerprint, hmm, language, media, mixing, neardup, substrings, suffixes, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,14 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.of_documents(table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.of_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(table(spark, sf_dir, "documents"))
 
@@ -50,5 +58,5 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_toxicity": op7_toxicity, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
+QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op4_language": op4_language, "language_of_pages": language_of_pages, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_toxicity": op7_toxicity, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
 ORACLE_SQL: dict[str, str] = {}

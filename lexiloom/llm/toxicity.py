@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels as K
+from lexiloom.llm.storage import checkpoint
 
 MAX_LABELLED = 20_000
 PREFIX, DRIFT, PRIOR, SURE, CAP = 5, 0.3, 500.0, 3.0, 6.0
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     """docs: (doc_id, text); labels: (doc_id, toxic)."""
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(25))  # finer than the folds: the same numbers modulo 5
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 0)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("tune", part >= 20).checkpoint()
+    sample = checkpoint(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("tune", part >= 20))
     kinds = {(r.tune, r.toxic): r["count"] for r in sample.groupBy("tune", "toxic").count().collect()}
     if not all(kinds.get((False, t)) for t in (0, 1)):
         return None
