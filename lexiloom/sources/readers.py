@@ -77,7 +77,7 @@ def json_document(spark: SparkSession, path: str, column: str, n: int | None) ->
     kinds = {r.k for r in raw.select(root.alias("k")).distinct().collect()}  # one row per kind of root
     if kinds - {"[", '"'}:
         raise ValueError("the root of a JSON corpus is a list or a string")
-    one = raw.where(root == '"').select(F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")[0].alias("text"), F.struct("_file", F.lit(-1).alias("row")).alias("place"))
+    one = raw.where(root == '"').select(F.get(F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>"), F.lit(0)).alias("text"), F.struct("_file", F.lit(-1).alias("row")).alias("place"))
     items = raw.where(root == "[").select("_file", F.posexplode(F.from_json("value", "array<string>")).alias("row", "item"))
     value = F.when(F.col("item").rlike(r"^\s*\{"), F.get_json_object("item", f"$['{column}']")).otherwise(F.col("item"))
     many = items.select(value.alias("text"), F.struct("_file", "row").alias("place"))
@@ -89,8 +89,8 @@ def jsonl(spark: SparkSession, path: str, column: str, n: int | None) -> DataFra
     d = _placed(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))).where(not_blank("value"))
     line = F.trim("value")
     parsed = F.try_parse_json(line)
-    text = F.when(line.startswith("{"), F.get_json_object(line, f"$['{column}']")).otherwise(F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>")[0])
-    text = F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("no JSON: "), F.substring("value", 1, 200)))).otherwise(text)
+    text = F.when(line.startswith("{"), F.get_json_object(line, f"$['{column}']")).otherwise(F.get(F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>"), F.lit(0)))
+    text = F.when(not_blank(line) & parsed.isNull(), F.raise_error(F.concat(F.lit("no JSON: "), F.substring("value", 1, 200)))).otherwise(text)
     return filter_then_limit(d.select(text.alias("text"), "place"), has_text("text"), n)
 
 
