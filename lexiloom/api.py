@@ -6,7 +6,7 @@ import glob as globs
 import os
 from collections.abc import Sequence
 from pathlib import Path
-from typing import Any
+from typing import Any, Literal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from lexiloom.sources import sinks
 from lexiloom.sources.readers import numbered, of_file, read_corpus
 
 SEMANTICS = ("sequence", "word", "repeat")
+DEFAULT_SIZE = 16_000
 
 
 def session() -> SparkSession:
@@ -58,13 +59,13 @@ class Tokenizer:
             self.model = training.train_repeat(seen, self._start(seen, "word", special_tokens), vocab_size)
         return self
 
-    def train_from_file(self, spark: SparkSession, path: str, vocab_size: int, text_column: str = "text", special_tokens: Sequence[str] | None = None, max_samples: int | None = None, **how: Any) -> Tokenizer:
+    def train_from_file(self, spark: SparkSession, path: str | os.PathLike, vocab_size: int, text_column: str = "text", special_tokens: Sequence[str] | None = None, max_samples: int | None = None, **how: Any) -> Tokenizer:
         return self.train(numbered(read_corpus(spark, path, text_column, max_samples)), vocab_size, special_tokens, **how)
 
-    def save(self, vocab_path: str, merges_path: str) -> None:
+    def save(self, vocab_path: str | os.PathLike, merges_path: str | os.PathLike) -> None:
         sinks.save_model(self.model, vocab_path, merges_path)
 
-    def load(self, vocab_path: str, merges_path: str) -> Tokenizer:
+    def load(self, vocab_path: str | os.PathLike, merges_path: str | os.PathLike) -> Tokenizer:
         self.model = sinks.load_model(vocab_path, merges_path)
         return self
 
@@ -117,7 +118,7 @@ class ChunkedTrainer:
 
     add_from_dataset = add_frame
 
-    def add_file(self, path: str, text_column: str = "text") -> bool:
+    def add_file(self, path: str | os.PathLike, text_column: str = "text") -> bool:
         """Whether the file was new."""
         key = str(Path(path).resolve())
         if key in self.files:
@@ -136,8 +137,9 @@ class ChunkedTrainer:
         n = docs.agg(F.greatest(F.count("*") - 1, F.lit(0)).cast("int").alias("n"))
         return n.select(F.explode(F.array_repeat(F.lit(END_OF_TEXT), F.col("n"))).alias("text"))
 
-    def add_directory(self, pattern: str, text_column: str = "text") -> int:
-        return sum(self.add_file(p, text_column) for p in sorted(globs.glob(pattern)))
+    def add_directory(self, pattern: str | os.PathLike, text_column: str = "text") -> int:
+        """How many of the files were new."""
+        return sum(map(lambda p: self.add_file(p, text_column), sorted(globs.glob(os.fspath(pattern)))))
 
     def save_state(self, path: str) -> None:
         sinks.save_state(self._table(), self.chars, sorted(self.files), path)
@@ -173,13 +175,13 @@ class ChunkedTrainer:
         return self.tokenizer
 
 
-def train(source: Any, vocab_size: int = 16_000, algorithm: str = "bpe", mode: str = "single", output_dir: str | None = None, model_prefix: str = "tokenizer", special_tokens: Sequence[str] | None = None, text_column: str = "text", min_frequency: int = 2, spark: SparkSession | None = None, **how: Any):
+def train(source: Any, vocab_size: int | None = None, algorithm: Literal["bpe", "sentencepiece"] = "bpe", mode: Literal["single", "chunked"] = "single", output_dir: str | os.PathLike | None = None, model_prefix: str = "tokenizer", special_tokens: Sequence[str] | None = None, text_column: str = "text", min_frequency: int = 2, spark: SparkSession | None = None, **how: Any):
     """Train and, with output_dir, save: a Tokenizer, or a SentencePieceModel for algorithm="sentencepiece"."""
     if algorithm not in ("bpe", "sentencepiece"):
         raise ValueError("algorithm is 'bpe' or 'sentencepiece'")
     if mode not in ("single", "chunked"):
         raise ValueError("mode is 'single' or 'chunked'")
-    spark = spark or session()
+    spark, vocab_size = spark or session(), DEFAULT_SIZE if vocab_size is None else vocab_size
     if algorithm == "sentencepiece":
         if output_dir is None:
             raise ValueError("SentencePiece needs output_dir")
@@ -189,7 +191,7 @@ def train(source: Any, vocab_size: int = 16_000, algorithm: str = "bpe", mode: s
     else:
         t = ChunkedTrainer(spark)
         if isinstance(source, (str, os.PathLike)) and os.path.exists(source):
-            t.add_file(os.fspath(source), text_column)
+            t.add_file(source, text_column)
         elif isinstance(source, str) and any(c in source for c in "*?["):
             t.add_directory(source, text_column)
         else:

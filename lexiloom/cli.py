@@ -43,11 +43,11 @@ class Problem(Exception):
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="python -m lexiloom", description=__doc__)
+    made = argparse.ArgumentParser("python -m lexiloom", description=__doc__)
     for name, short, how in _OPTIONS:
-        p.add_argument(f"--{name}", *([f"-{short}"] if short else []), **how)
-    p.add_argument("--version", action="version", version=lexiloom.__version__)
-    return p
+        made.add_argument(f"--{name}", *([f"-{short}"] if short else []), **how)
+    made.add_argument("--version", version=lexiloom.__version__, action="version")
+    return made
 
 
 def _need(args: argparse.Namespace, *names: str) -> None:

@@ -15,7 +15,7 @@ from lexiloom.functions.tables import END_OF_TEXT, SCRIPTS, SPECIAL_TOKENS
 #: Chunks of a text, case-blind: letters with at most one leading sign and an English contraction; up to three digits;
 #: signs with what line ends follow; a blank and a run of the South Asian blocks; line ends; blanks before a blank; blanks.
 PRETOKEN = (
-    r"(?U)[^\r\n\p{L}\p{N}]?[\p{L}\p{M}]+(?:(?i)'(?:s|t|re|ve|m|ll|d))?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*"
+    r"(?U)[^\p{N}\p{L}\n\r]?[\p{M}\p{L}]+(?:(?i)'(?:d|ll|m|ve|re|t|s))?|\p{N}{1,3}| ?[^\p{N}\p{L}\s]+[/\n\r]*"
     r"| [\x{0900}-\x{0DFF}]+|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
 

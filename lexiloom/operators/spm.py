@@ -114,7 +114,7 @@ class SentencePieceModel:
         return self.processor.encode(text, out_type=int, add_bos=bos, add_eos=eos)
 
     def encode_as_pieces(self, text: str) -> list[str]:
-        return self.processor.encode(text, out_type=str)
+        return self.processor.encode_as_pieces(text)
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)

@@ -108,7 +108,8 @@ def learn_sequence(ids: np.ndarray, model: Model, size: int) -> Model:
         code = int(codes[counts.argmax()])  # codes ascend: the first of equals is the least pair
         left, right = divmod(code, base)
         new = model.add(left, right)
-        hit = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right))
+        here, after = ids[:-1], ids[1:]
+        hit = np.flatnonzero((here == left) & (after == right))
         if left == right and len(hit):  # in a run of hits every other one counts
             run = np.concatenate([[True], np.diff(hit) > 1])
             start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))

@@ -32,7 +32,7 @@ def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
 
 # DuckDB has no look-ahead: without the branch for blanks before a blank the chunks differ only where two blanks meet.
 _W = r"\t\n\x0b\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_RE = rf"[^\r\n\p{{L}}\p{{N}}]?[\p{{L}}\p{{M}}]+(?:''(?i:s|t|re|ve|m|ll|d))?|\p{{N}}{{1,3}}| ?[^{_W}\p{{L}}\p{{N}}]+[\r\n/]*| [\x{{0900}}-\x{{0DFF}}]+|[{_W}]*[\r\n]+|[{_W}]+"
+_RE = rf"[^\p{{N}}\p{{L}}\n\r]?[\p{{M}}\p{{L}}]+(?:''(?i:d|ll|m|ve|re|t|s))?|\p{{N}}{{1,3}}| ?[^\p{{N}}\p{{L}}{_W}]+[/\n\r]*| [\x{{0900}}-\x{{0DFF}}]+|[{_W}]*[\r\n]+|[{_W}]+"
 _CHUNKS = f"regexp_extract_all(text, '{_RE}')"
 _WORDS = f"(SELECT unnest({_CHUNKS}) AS word FROM documents WHERE text <> '')"
 _FREQ = f"(SELECT word, count(*) AS freq FROM {_WORDS} GROUP BY word)"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import has_text, not_blank
 
-SUFFIXES = (".parquet", ".csv", ".txt", ".json", ".jsonl")
+SUFFIXES = (".txt", ".jsonl", ".json", ".csv", ".parquet")
 #: What a CSV cell may hold to count as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -134,7 +134,7 @@ def read_corpus(spark: SparkSession, source: Any, text_column: str = "text", max
         only = source[[text_column]].astype(object).where(source[[text_column]].notna(), None)
         only[text_column] = only[text_column].map(lambda v: None if v is None else str(v))
         return frame(spark.createDataFrame(only, f"`{text_column}` string"), text_column, max_samples)
-    if hasattr(source, "column_names") and type(source).__name__ in ("Dataset", "DatasetDict", "IterableDataset"):
+    if hasattr(source, "column_names") and type(source).__name__.endswith(("Dataset", "DatasetDict")):
         return dataset(spark, source, text_column, max_samples)
     if isinstance(source, (str, os.PathLike)):
         name = os.fspath(source)

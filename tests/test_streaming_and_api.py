@@ -9,7 +9,7 @@ from lexiloom.operators.spm import SentencePieceModel
 from lexiloom.sources import readers
 from lexiloom.streaming import incremental
 
-POEM = ["அகர முதல எழுத்தெல்லாம் ஆதி", "பகவன் முதற்றே உலகு", "கற்றதனால் ஆய பயனென்கொல் வாலறிவன்", "நற்றாள் தொழாஅர் எனின்"] * 30
+POEM = ["மழை பெய்தது, காற்று வீசியது", "நதி நீர் மெல்ல ஓடியது", "பறவைகள் காலையில் பாடின", "குழந்தைகள் மகிழ்ச்சியாக விளையாடினர்"] * 30
 
 
 def put(folder, name, texts):
