@@ -16,6 +16,7 @@ from lexiloom.functions.text import has_text, pretokenize
 from lexiloom.operators import codec, training, vocab, wordfreq
 from lexiloom.operators.spm import SentencePieceModel
 from lexiloom.operators.training import Model
+from lexiloom.session import ship
 from lexiloom.sources import sinks
 from lexiloom.sources.readers import numbered, of_file, read_corpus
 
@@ -24,7 +25,7 @@ DEFAULT_SIZE = 16_000
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("lexiloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return ship(SparkSession.builder.appName("lexiloom").config("spark.sql.session.timeZone", "UTC").getOrCreate())
 
 
 class Tokenizer:
