@@ -8,8 +8,8 @@ a union are the greater ones of the parts, and they agree about as often as the
 2. Bands of registers are hashed; nodes that share a band are candidates. In each band's bucket all
    are paired with one pivot, not with each other. The joint likelihood of two sketches, given
    the set sizes, estimates how alike they are; a node's best pair is verified on the full sets.
-3. Where a bucket still holds several components, the pairs across them are estimated in tiles and
-   verified, too, so that no candidate goes unjudged.
+3. The nodes of buckets that still hold several components are joined across these by an exact prefix filter on
+   their full sets, and verified, so that no candidate goes unjudged and no group is searched pair by pair.
 
 A link of Jaccard index j shares no band with probability (1 - j^5)^48: 2e-6 at 0.75, 5e-9 at 0.8.
 
@@ -40,8 +40,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, LAST = 1.001, 20.0, 65534
 #: Links need 100 * intersection >= PERCENT * union; estimates below SURE are not verified (4.5 standard errors).
 PERCENT, SURE = 75, 0.62
-#: Nodes of a tile, when a bucket with several components is searched.
-TILE = 256
+#: Ratio of the classes of set sizes in the prefix filter.
+CLASS = 1.05
 _NULL_IDS = 1 << 62
 _RNG = np.random.Generator(np.random.PCG64(777))
 _MUL = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,30 +175,62 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _class(size: int) -> int:
+    return int(np.floor(np.log(size) / np.log(CLASS)))
 
 
-def _across(percent: int, sure: float):
-    """Candidate pairs of a tile pair: nodes of different components whose sketches are alike."""
+def _prefixes(percent: int):
+    """The shared shingles of a node that come first, for each class of partner sizes: a link needs one of them in common."""
+    names = ["token", "low", "high", "own", "node", "comp", "n", "place"]
 
-    def run(table: pa.Table) -> pa.Table:
-        ti, tj = table["ti"][0].as_py(), table["tj"][0].as_py()
-        node, comp, tile, n = (table[c].to_numpy() for c in ("node", "comp", "tile", "n"))
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(tile == ti), np.flatnonzero(tile == tj)
-        found: list[tuple[int, int]] = []
-        for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if ti == tj else True)]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            js = js[(regs[js] == regs[i]).mean(1) >= sure - 0.05]
-            if len(js):
-                est = joint_estimate(np.broadcast_to(regs[i], (len(js), REGISTERS)), regs[js], np.full(len(js), float(n[i])), n[js].astype(float))
-                found += [(int(node[i]), int(node[j])) for j in js[est >= sure]]
-        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in found], schema=_PAIRS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for node, comp, n, tokens in zip(*(b.column(c).to_pylist() for c in ("node", "comp", "n", "tokens"))):
+                own, have = _class(n), len(tokens)
+                least = -(-percent * n // 100)
+                for c in range(_class(least), _class(100 * n // percent) + 1):
+                    size = max(least, int(np.floor(CLASS**c)))  # no partner of the class is smaller
+                    first = have - _needed(n, size, percent) + 1
+                    for k in range(max(0, first)):
+                        for o, v in zip(out, (tokens[k]["token"], min(own, c), max(own, c), own, node, comp, n, n - have + k)):
+                            o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
 
     return run
 
 
+def _needed(a: int, b: int, percent: int) -> int:
+    """Common shingles that sets of sizes a and b need for a link."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def across(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of (node, comp) rows of different components that can be links, by an exact prefix filter.
+
+    Under one order of all shingles, two sets with k common ones have one among the first size - k + 1 of either. The order puts first
+    what a single component has, then the rarer ones; what a single component has joins nothing. So documents that share a
+    core, but each differ too much, meet nowhere, however many they are.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, sets in _text_sets(b.column(3)):
+                size = np.array([len(s) for s in sets])
+                cols = [np.repeat(b.column(c).slice(i, len(sets)).to_numpy(), size) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "comp", "n", "token"])
+
+    tokens = rest.join(nodes.select("node", "n", "text"), "node").select("node", "comp", "n", "text").mapInArrow(explode, "node long, comp long, n long, token long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token", "df")
+    kept = tokens.join(shared, "token").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # as long as a document
+    first = kept.mapInArrow(_prefixes(percent), "token long, low long, high long, own long, node long, comp long, n long, place long")
+    a, b = (first.select("token", "low", "high", *(F.col(c).alias(f"{c}_{k}") for c in ("own", "node", "comp", "n", "place"))) for k in "ab")
+    met = a.join(b, ["token", "low", "high"]).where("comp_a != comp_b AND own_a = low AND own_b = high AND (low < high OR node_a < node_b)")
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # common ones from here on, at most
+    met = met.where(reach * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, sure: float = SURE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     doc_id = F.col(id_col).cast("long")
@@ -232,12 +264,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     label = components(links)
     placed = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    left = placed.join(open_, "band").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("band", "node", "comp", "tile", F.least("tile", "o").alias("ti"), F.greatest("tile", "o").alias("tj"))
-    across = left.join(nodes.select("node", "n", "regs"), "node").groupBy("band", "ti", "tj").applyInArrow(_across(percent, sure), "a long, b long").distinct()
-    links = checkpoint(links.unionByName(verified(across, nodes, percent)))
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    rest = placed.join(open_, "band").select("node", "comp").distinct()
+    links = checkpoint(links.unionByName(verified(across(rest, nodes, percent), nodes, percent)))
 
     label = components(links)
     first = sketch.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"))

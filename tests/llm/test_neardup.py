@@ -115,8 +115,7 @@ def test_against_brute_force(docs):
     assert got(neardup.near_duplicates(docs(t, ids=ids).repartition(3))) == brute(list(zip(ids, t)))
 
 
-def test_chains_are_followed_through_buckets(docs, monkeypatch):
-    monkeypatch.setattr(neardup, "TILE", 4)
+def test_chains_are_followed_through_buckets(docs):
     rng = random.Random(6)
     w = [f"v{k}" for k in range(60)]
     t = []
@@ -128,6 +127,32 @@ def test_chains_are_followed_through_buckets(docs, monkeypatch):
     assert got(neardup.near_duplicates(docs(t))) == brute(list(enumerate(t)))
 
 
+def test_no_link_is_lost_between_components(spark):
+    """The prefix filter alone, with every node its own component, against all pairs; a common core makes no pairs."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    core = rng.choices(words, k=80)
+    t = [" ".join(w) for w in {tuple(shingle_words(rng, core, words)) for _ in range(150)}]
+    sets = [shingle_set(x) for x in t]
+    nodes = spark.createDataFrame([(k, len(s), x) for k, (s, x) in enumerate(zip(sets, t))], "node long, n long, text string")
+    got = {(min(r), max(r)) for r in neardup.across(nodes.select("node", nodes.node.alias("comp")), nodes, 75).collect()}
+    need = {(i, j) for i in range(len(t)) for j in range(i + 1, len(t)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert need and need <= got
+    far = [" ".join(x if rng.random() > 0.11 else f"u{k}-{p}" for p, x in enumerate(core)) for k in range(200)]
+    sets = [shingle_set(x) for x in far]
+    nodes = spark.createDataFrame([(k, len(s), x) for k, (s, x) in enumerate(zip(sets, far))], "node long, n long, text string")
+    pairs = neardup.across(nodes.select("node", nodes.node.alias("comp")), nodes, 75).count()
+    links = sum(100 * len(a & b) >= 75 * len(a | b) for k, a in enumerate(sets) for b in sets[k + 1 :])
+    assert links <= pairs < 6 * links + 600 < 200 * 199 / 2 / 4
+
+
+def shingle_words(rng, core, words):
+    w = list(core)
+    for _ in range(rng.randint(0, 9)):
+        w[rng.randrange(len(w))] = rng.choice(words)
+    return w[: rng.randint(60, 80)]
+
+
 def test_empty_table_and_the_documents_kept(docs):
     assert neardup.near_duplicates(docs([])).count() == 0
     d = docs(["a b c d e f", "A b c d e f", None, "", "x y"], ids=[3, 1, 2, None, 5])
