@@ -155,13 +155,14 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """The documents' columns, prefixed r_, and n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, if keep_bytes), spans (removed byte intervals)."""
     cols = df.columns
     q = width // 3 + 1
-    work = df.select(*(F.col(f"`{c}`").alias(f"r_{c}") for c in cols), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("s_key"), F.xxhash64(text_col).alias("s_tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("s_text"))
-    blocks = X.in_blocks(work, "s_text", None, block_bytes)
+    work = df.select(*(F.col(f"`{c}`").alias(f"r_{c}") for c in cols), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("s_key"), F.xxhash64(text_col).alias("s_tie"))
+    text = f"r_{text_col}"  # null counts as empty
+    blocks = X.in_blocks(work, text, None, block_bytes)
     n = blocks.count
 
     def buffers(docs: pa.Table):
         docs = docs.sort_by([("s_key", "ascending"), ("s_tie", "ascending")])  # places are the same in every round
-        raw, off = K.text_buffers(docs["s_text"])
+        raw, off = K.text_buffers(docs[text])
         return docs, raw, off
 
     def anchors(block: int, docs: pa.Table) -> pa.Table:
