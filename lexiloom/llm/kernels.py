@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes handled at a time: the work arrays are a few dozen times as large.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = (1 << 20) - 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

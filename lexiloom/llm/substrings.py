@@ -46,13 +46,14 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     cols = df.columns
     work = df.select(
         *(F.col(f"`{c}`").alias(f"r_{c}") for c in cols), F.col(id_col).isNotNull().alias("s_null"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("s_key"),
-        F.xxhash64(text_col).alias("s_tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("s_text"),
+        F.xxhash64(text_col).alias("s_tie"),
     )
-    blocks = X.in_blocks(work, "s_text", f"r_{id_col}", block_bytes)
+    words = f"r_{text_col}"  # null counts as empty
+    blocks = X.in_blocks(work, words, f"r_{id_col}", block_bytes)
     reducers = blocks.count
 
     def send(block: int, docs: pa.Table) -> pa.Table:
-        *_, win = _windows(docs["s_text"], width)
+        *_, win = _windows(docs[words], width)
         return X.rows(X.ask(block, np.unique(win), reducers))
 
     replies = X.reduce(X.mapped(blocks, send, X.MESSAGE), X.seen_before)
@@ -60,7 +61,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     def finish(block: int, docs: pa.Table, table: pa.Table) -> pa.Table:
         docs = _sorted(docs)
-        raw, s, e, word_off, at, win = _windows(docs["s_text"], width)
+        raw, s, e, word_off, at, win = _windows(docs[words], width)
         values, first, inverse = np.unique(win, return_index=True, return_inverse=True)
         flags, _ = X.answers(table)
         again = X.joined_bits(flags)[inverse] if len(win) else np.zeros(0, bool)
@@ -68,7 +69,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         gone = K.cover(at[again | here], width, len(s))
         removed = np.concatenate([[0], np.cumsum(gone)])
         n_removed = removed[word_off[1:]] - removed[word_off[:-1]]
-        texts = docs["s_text"].to_pylist()
+        texts = docs[words].to_pylist()
         sha, kept_texts, spans = [], [], []
         data = raw.tobytes()
         for d in range(docs.num_rows):
@@ -79,7 +80,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 a, b = K.runs(gone[i:j])
                 spans.append([{"from": x, "to": y} for x, y in zip(a.tolist(), b.tolist())])
             else:
-                kept = b" ".join(texts[d].encode().split())  # bytes.split() cuts at the same six characters
+                kept = b" ".join((texts[d] or "").encode().split())  # bytes.split() cuts at the same six characters
                 spans.append([])
             sha.append(hashlib.sha256(kept).hexdigest() if digest else None)
             kept_texts.append(kept.decode() if keep_text else None)
