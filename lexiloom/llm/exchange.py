@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from lexiloom.llm import kernels as K
 from lexiloom.llm.fingerprint import range_bounds
 
-#: Bytes of text in a block.
+#: Bytes of text in a block. Larger blocks need more of a worker's memory and send fewer messages: some hundred MB suit 100 TB.
 BLOCK_BYTES = 8 << 20
+#: Tasks and reducers at most; beyond, a task has several blocks and a reducer a wider range.
+MOST_TASKS, MOST_REDUCERS = 1 << 17, 1 << 16
 MESSAGE = "to long, block long, kind int, keys binary, extra binary"
 _ARROW = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 #: Kinds of messages: a question to a reducer, its answer, and what a block keeps for its own next round.
@@ -35,7 +37,7 @@ ASK, ANSWER, KEEP = 0, 1, 2
 @dataclass(frozen=True)
 class Blocks:
     df: DataFrame
-    count: int
+    reducers: int
 
 
 def in_blocks(df: DataFrame, text_col: str, order_col: str | None = None, block_bytes: int = BLOCK_BYTES) -> Blocks:
@@ -53,8 +55,8 @@ def in_blocks(df: DataFrame, text_col: str, order_col: str | None = None, block_
         block = place(key)
     else:
         block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(n)).cast("long")
-    parts = max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return Blocks(df.withColumn("block", block).repartition(parts, "block"), n)
+    parts = min(MOST_TASKS, max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return Blocks(df.withColumn("block", block).repartition(parts, "block"), min(n, MOST_REDUCERS))
 
 
 def ask(block: int, keys: np.ndarray, reducers: int, extra: Callable[[int, int], bytes] | None = None, kind: int = ASK) -> list[tuple]:

@@ -257,7 +257,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = docs.where(~F.col("held_out")).select("text")
     blocks = X.in_blocks(docs, "text", None, block_bytes)
-    n = blocks.count
+    n = blocks.reducers
     counts = checkpoint(count(train, n))
     pairs = np.zeros((CLASSES, CLASSES))
     for r in counts.where(F.col("kind") == X.KEEP).select("to", "extra").collect():  # CLASSES rows at most

@@ -50,7 +50,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     )
     words = f"r_{text_col}"  # null counts as empty
     blocks = X.in_blocks(work, words, f"r_{id_col}", block_bytes)
-    reducers = blocks.count
+    reducers = blocks.reducers
 
     def send(block: int, docs: pa.Table) -> pa.Table:
         *_, win = _windows(docs[words], width)

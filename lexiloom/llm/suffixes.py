@@ -158,7 +158,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     work = df.select(*(F.col(f"`{c}`").alias(f"r_{c}") for c in cols), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("s_key"), F.xxhash64(text_col).alias("s_tie"))
     text = f"r_{text_col}"  # null counts as empty
     blocks = X.in_blocks(work, text, None, block_bytes)
-    n = blocks.count
+    n = blocks.reducers
 
     def buffers(docs: pa.Table):
         docs = docs.sort_by([("s_key", "ascending"), ("s_tie", "ascending")])  # places are the same in every round

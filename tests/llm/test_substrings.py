@@ -71,6 +71,15 @@ def test_against_brute_force(docs):
         assert got(substrings.digests(docs(t, ids=ids).repartition(3), block_bytes=block)) == brute(list(zip(ids, t)))
 
 
+def test_more_blocks_than_tasks_and_reducers(docs, monkeypatch):
+    from lexiloom.llm import exchange
+
+    monkeypatch.setattr(exchange, "MOST_TASKS", 2)
+    monkeypatch.setattr(exchange, "MOST_REDUCERS", 3)
+    t = texts(7)
+    assert got(substrings.digests(docs(t), block_bytes=300)) == brute(list(enumerate(t)))
+
+
 def test_other_widths_and_repeated_rows(docs):
     t = ["p q r s t u", "q r s t", "q r s t", "z"]
     assert got(substrings.digests(docs(t), width=3)) == brute(list(enumerate(t)), 3)
