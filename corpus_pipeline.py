@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import bpe, language, mixing, neardup, substrings
-from lexiloom.llm.queries import VOCABULARY
+from lexiloom.llm.queries import VOCABULARY, frugal
 from lexiloom.llm.storage import checkpoint
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,26 +20,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents (without letters, or in no known language) go."""
+    frugal(spark)
     return language.kept_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
+    frugal(spark)
     return neardup.deduplicated(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that an earlier document has, too, go; a text without such windows stays as it is."""
+    frugal(spark)
     return substrings.cleaned(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    frugal(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids), a row for each time that a document is taken."""
+    frugal(spark)
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=True)
 
 

@@ -25,9 +25,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import kernels as K
+
 CHUNK_CHARS, OVERLAP_CHARS, LONG_CHARS = 1 << 16, 1 << 10, 1 << 20
 #: Pieces whose ids a worker remembers; it bounds memory, not results.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 class Codec(dict):
@@ -160,10 +162,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         return pa.Table.from_batches([rows(c, [table["doc_id"][0].as_py()], [ids])])
 
     size = F.length("text")
-    few = docs.where(size <= long_chars).mapInArrow(short, schema)
+    few = docs.where(size <= long_chars).mapInArrow(K.calm(short), schema)
     cuts = docs.where(size > long_chars).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.col("text"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("k"))
     parts = cuts.select("doc_id", "row", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part"))
-    spread = parts.repartition("row", "k").mapInArrow(spans, "doc_id long, row long, k int, part string, spans binary")
+    spread = parts.repartition("row", "k").mapInArrow(K.calm(spans), "doc_id long, row long, k int, part string, spans binary")
     return few.unionByName(spread.groupBy("row").applyInArrow(join, schema))
 
 
@@ -176,4 +178,4 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
             out = [None if x is None else b"".join(map(c.bytes_of.__getitem__, x)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(K.calm(run), "doc_id long, bytes binary")

@@ -25,7 +25,7 @@ from lexiloom.llm import kernels as K
 from lexiloom.llm.fingerprint import range_bounds
 
 #: Bytes of text in a block. Larger blocks need more of a worker's memory and send fewer messages: some hundred MB suit 100 TB.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Tasks and reducers at most; beyond, a task has several blocks and a reducer a wider range.
 MOST_TASKS, MOST_REDUCERS = 1 << 17, 1 << 16
 MESSAGE = "to long, block long, kind int, keys binary, extra binary"
@@ -86,7 +86,8 @@ def reduce(messages: DataFrame, judge: Callable[[list[np.ndarray], list[bytes],
         answers = pa.Table.from_arrays([asked["to"], asked["block"], pa.array([ANSWER] * n, pa.int32()), pa.array([b""] * n, pa.binary()), pa.array(found, pa.binary())], schema=_ARROW)
         return pa.concat_tables([answers, table.slice(n).cast(_ARROW)])
 
-    return messages.groupBy("to").applyInArrow(run, MESSAGE)
+    calm = _calm(run)
+    return messages.groupBy("to").applyInArrow(lambda table: calm(table), MESSAGE)
 
 
 def answers(table: pa.Table) -> tuple[list[bytes], dict[bytes, bytes]]:
@@ -134,14 +135,27 @@ def repeated(keys: list[np.ndarray], extras: list[bytes], blocks: np.ndarray) ->
     return [bits(x) for x in np.split(flag, ends[:-1])]
 
 
+def _calm(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    def inner(*args):  # positional, as run takes them
+        try:
+            return run(*args)
+        finally:
+            K.trim()
+
+    return inner
+
+
 def mapped(blocks: Blocks, run: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
     """The first round: run(block, its documents)."""
+    run = _calm(run)
     return blocks.df.groupBy("block").applyInArrow(lambda key, table: run(key[0].as_py(), table), schema)
 
 
 def answered(blocks: Blocks, replies: DataFrame, run: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """A further round: run(block, its documents, its answers)."""
 
+    run = _calm(run)
+
     def both(key: tuple, docs: pa.Table, table: pa.Table) -> pa.Table:
         return run(key[0].as_py(), docs, table)
 

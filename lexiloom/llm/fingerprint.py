@@ -103,7 +103,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(K.calm(run), "doc_id long, fingerprint string")
 
 
 PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -177,4 +177,4 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", par
                     yield _pairs(ids, texts)
                     ids, texts = ids[-1:], texts[-1:]
 
-    return near.select("doc_id", "text", "guest").mapInArrow(run, PAIR_SCHEMA)
+    return near.select("doc_id", "text", "guest").mapInArrow(K.calm(run), PAIR_SCHEMA)

@@ -122,7 +122,7 @@ def count(train: DataFrame, reducers: int, flush: int = 1_500_000) -> DataFrame:
             out.append((to, 0, X.KEEP, b"", sum(np.frombuffer(x, np.int64) for x in pairs).tobytes()))
         return X.rows(out)
 
-    return train.mapInArrow(run, X.MESSAGE).groupBy("to").applyInArrow(total, X.MESSAGE)
+    return train.mapInArrow(K.calm(run), X.MESSAGE).groupBy("to").applyInArrow(total, X.MESSAGE)
 
 
 def class_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def class_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         has = np.flatnonzero(v)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(n[has]), pa.array(v[has])], names=["c", "n", "v"])
 
-    found = counts.where(F.col("kind") == X.ASK).select("extra").mapInArrow(run, "c int, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    found = counts.where(F.col("kind") == X.ASK).select("extra").mapInArrow(K.calm(run), "c int, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in found:
         n[r.c], v[r.c] = r.n, r.v
@@ -196,7 +196,7 @@ def expected(m: Model, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Baum-Welch counts of all sequences, flattened: starts, moves, emissions."""
     s = len(m.start)
     order, first, alive = _order(off)
-    ahead = np.empty((len(cls), s))
+    ahead = np.empty((len(cls), s), np.float32)
     forward(m, cls, off, ahead)
     emit = np.ascontiguousarray(m.emit.T)
     moves, starts = np.zeros((s, s)), np.zeros(s)
@@ -236,7 +236,7 @@ def baum_welch(train: DataFrame, m: Model) -> Model:
                     total += expected(m, cls[off[i] : off[j]], off[i : j + 1] - off[i])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
 
-    found = train.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    found = train.mapInArrow(K.calm(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     x = np.zeros(s + s * s + s * CLASSES)
     for r in found:
         x[r.i] = r.x

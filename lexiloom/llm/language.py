@@ -74,7 +74,7 @@ def gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["i", "n"])
 
-    found = rows.where(F.col("declared").isin(languages)).select("declared", "text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where(F.col("declared").isin(languages)).select("declared", "text").mapInArrow(K.calm(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size)
     out[found.i.to_numpy()] = found.n.to_numpy()
     return out.reshape(len(languages), BUCKETS)
@@ -104,7 +104,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(list(ll), pa.list_(pa.float64()))], names=[*others, "ll"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", ll array<double>"
-    return rows.select(*others, "text").mapInArrow(run, schema)
+    return rows.select(*others, "text").mapInArrow(K.calm(run), schema)
 
 
 def identify(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import kernels as K
+
 #: Bytes of a stored frame, frames of a chunk, and frames from one sync sample to the next.
 FRAME, CHUNK_FRAMES, SYNC_EVERY, RATE = 576, 8, 16, 8000
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
@@ -216,7 +218,7 @@ def media_features(df: DataFrame, id_col: str, blob_col: str) -> DataFrame:
             rows = [{"id": i} | describe(d) for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(blob_col).cast("binary").alias("blob")).mapInArrow(run, f"id long, {FEATURES}")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(blob_col).cast("binary").alias("blob")).mapInArrow(K.calm(run), f"id long, {FEATURES}")
 
 
 TEXT_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:long,bytes:long>>"
@@ -255,4 +257,4 @@ def texts_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows = [_text_row(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TEXT_ARROW)], schema=_TEXT_ARROW)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, TEXT_SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(K.calm(run), TEXT_SCHEMA)

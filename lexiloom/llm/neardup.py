@@ -128,7 +128,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 part = b.slice(i, len(sets))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(regs, pa.binary())], schema=_SKETCH)
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, n long, node long, regs binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(K.calm(run), "doc_id long, rid long, n long, node long, regs binary")
 
 
 @F.pandas_udf(DoubleType())
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep[k : k + 64] = [linked(s, t, percent) for s, t in zip(*sets)]
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(K.calm(run), "a long, b long")
 
 
 def _class(size: int) -> int:
@@ -220,10 +220,10 @@ def across(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 cols = [np.repeat(b.column(c).slice(i, len(sets)).to_numpy(), size) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "comp", "n", "token"])
 
-    tokens = rest.join(nodes.select("node", "n", "text"), "node").select("node", "comp", "n", "text").mapInArrow(explode, "node long, comp long, n long, token long")
+    tokens = rest.join(nodes.select("node", "n", "text"), "node").select("node", "comp", "n", "text").mapInArrow(K.calm(explode), "node long, comp long, n long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token", "df")
     kept = tokens.join(shared, "token").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # as long as a document
-    first = kept.mapInArrow(_prefixes(percent), "token long, low long, high long, own long, node long, comp long, n long, place long")
+    first = kept.mapInArrow(K.calm(_prefixes(percent)), "token long, low long, high long, own long, node long, comp long, n long, place long")
     a, b = (first.select("token", "low", "high", *(F.col(c).alias(f"{c}_{k}") for c in ("own", "node", "comp", "n", "place"))) for k in "ab")
     met = a.join(b, ["token", "low", "high"]).where("comp_a != comp_b AND own_a = low AND own_b = high AND (low < high OR node_a < node_b)")
     reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # common ones from here on, at most
@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = part.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in regs], pa.binary())], names=["node", "n", "text", "regs"])
 
-    nodes = checkpoint(docs.select("rid", "text").join(wanted, "rid").select("node", "n", "text").mapInArrow(again, "node long, n long, text string, regs binary").dropDuplicates(["node"]))
+    nodes = checkpoint(docs.select("rid", "text").join(wanted, "rid").select("node", "n", "text").mapInArrow(K.calm(again), "node long, n long, text string, regs binary").dropDuplicates(["node"]))
 
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     maybe = estimated(pairs, nodes, percent, sure)

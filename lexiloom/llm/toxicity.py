@@ -86,7 +86,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
                 every = np.bincount(inverse, minlength=len(values)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], names=["token", "toxic", "other"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return sample.select("text", "toxic").mapInArrow(K.calm(run), "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def log_odds(counts: DataFrame, toxic_docs: int, other_docs: int) -> DataFrame:
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             for i, j, size, best, segs in scanner.scan(b.column(0)):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(size), pa.array([len(x) for x in segs], pa.int64()), pa.array(best)], names=["toxic", "words", "hits", "best"])
 
-    seen = texts.where(F.col("tune") | (F.lit(not kinds.get((True, 1)) or not kinds.get((True, 0))))).select("text", "toxic").mapInArrow(features, _FEATURES).toPandas()
+    seen = texts.where(F.col("tune") | (F.lit(not kinds.get((True, 1)) or not kinds.get((True, 0))))).select("text", "toxic").mapInArrow(K.calm(features), _FEATURES).toPandas()
     clean = seen[seen.toxic == 0]
     share = (clean.hits.sum() + 0.5) / (clean.words.sum() + 1.0)
     gain = float(scanner.score.mean()) if len(keys) else 1.0
@@ -240,4 +240,4 @@ def scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
                 rows = [[{"from": u, "to": v, "score": s} for u, v, s in x] for x in segs]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(rows, _OUT.field("segments").type)], schema=_OUT)
 
-    return docs.withColumn("held_out", fold(F.col("doc_id")) == 0).select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, segments array<struct<from:long,to:long,score:double>>")
+    return docs.withColumn("held_out", fold(F.col("doc_id")) == 0).select("doc_id", "text", "held_out").mapInArrow(K.calm(run), "doc_id long, held_out boolean, score double, predicted int, segments array<struct<from:long,to:long,score:double>>")

@@ -84,7 +84,7 @@ def test_expected_counts_are_those_of_all_paths():
                 emits[path[t], s[t]] += p / z
                 if t:
                     moves[path[t - 1], path[t]] += p / z
-    assert hmm.expected(m, cls, off) == pytest.approx(np.concatenate([starts, moves.ravel(), emits.ravel()]))
+    assert hmm.expected(m, cls, off) == pytest.approx(np.concatenate([starts, moves.ravel(), emits.ravel()]), rel=1e-5, abs=1e-6)
 
 
 def test_baum_welch_raises_the_likelihood(docs):
