@@ -111,24 +111,24 @@ def _text_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield i, shingles(raw, off[i : j + 1])
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("regs", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("regs", pa.binary())])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, n, node, regs) of every (doc_id, rid, text): set size, set hash and registers (null for an empty set)."""
+    """(doc_id, rid, tie, n, node, regs) of every (doc_id, rid, tie, text): set size, set hash and registers (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, sets in _text_sets(b.column(2)):
+            for i, sets in _text_sets(b.column(3)):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 regs: list = [None] * len(sets)
                 if full:
                     for k, r in zip(full, registers([sets[k] for k in full])):
                         regs[k] = r.tobytes()
                 part = b.slice(i, len(sets))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(regs, pa.binary())], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array(regs, pa.binary())], schema=_SKETCH)
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(K.calm(run), "doc_id long, rid long, n long, node long, regs binary")
+    return docs.select("doc_id", "rid", "tie", "text").mapInArrow(K.calm(run), "doc_id long, rid long, tie long, n long, node long, regs binary")
 
 
 @F.pandas_udf(DoubleType())
@@ -231,12 +231,22 @@ def across(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _row_key(id_col: str, text_col: str) -> tuple[F.Column, F.Column]:
+    """(rid, tie): the id, or for a null id a number above all ids by the text; and a hash of the text."""
+    tie = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_IDS) + tie.bitwiseAND(F.lit(_NULL_IDS - 1))), tie
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, sure: float = SURE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    doc_id = F.col(id_col).cast("long")
+    return judged(df, id_col, text_col, percent, sure).drop("rid", "tie")
+
+
+def judged(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, sure: float = SURE) -> DataFrame:
+    """near_duplicates with the rows' keys."""
+    rid, tie = _row_key(id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rid = F.coalesce(doc_id, F.lit(_NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(_NULL_IDS - 1)))
-    docs = df.select(doc_id.alias("doc_id"), rid.alias("rid"), text.alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), rid.alias("rid"), tie.alias("tie"), text.alias("text"))
     sketch = checkpoint(sketches(docs))
 
     keys = F.array(*(F.xxhash64(F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)) for k in range(BANDS)))
@@ -273,12 +283,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = first.join(label, "node", "left").select("node", "rid", F.coalesce("component", "node").alias("comp"))
     least = first.groupBy("comp").agg(F.min("rid").alias("least"))
     place = first.join(least, "comp").select("node", "least")
-    out = sketch.select("doc_id", "rid", "n", "node").join(place, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rid").alias("least"))
+    out = sketch.select("doc_id", "rid", "tie", "n", "node").join(place, "node", "left").select("doc_id", "rid", "tie", F.col("n").alias("n_shingles"), F.coalesce("least", "rid").alias("least"))
     component = F.when(F.col("least") < _NULL_IDS, F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "rid", "tie", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents of which no smaller id is in the same component."""
-    gone = near_duplicates(df, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return df.join(gone, df[id_col].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
+    rid, tie = _row_key(id_col, text_col)
+    gone = judged(df, id_col, text_col, **how).where(~F.col("kept")).select(F.col("rid").alias("gone_rid"), F.col("tie").alias("gone_tie")).distinct()
+    return df.join(gone, (rid == F.col("gone_rid")) & (tie == F.col("gone_tie")), "left_anti")
