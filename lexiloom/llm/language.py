@@ -34,18 +34,24 @@ BUCKETS, MIN_SHARE = 1 << 15, 0.001
 TEMPER, MOST_GRAMS = 0.2, 400.0
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 20.0
 UNKNOWN = "und"
+#: Prior of the reject class.
+REJECT = 1e-4
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the lower-cased byte 3-grams of each text, and its grams' offsets. White space counts as one space character."""
+    """Buckets of the lower-cased byte 3-grams of each text, and its grams' offsets. Whatever is no letter counts as a blank, and no gram has two of these in a row:
+    numbers, addresses and signs tell nothing of the language."""
     b0, b1 = int(off[0]), int(off[-1])
     b = K.lower_bytes(raw[b0:b1]).astype(np.uint32)
-    b[(b >= 9) & (b <= 13)] = 32
+    letter = _LETTER[b]
+    b[~letter] = 32
     if len(b) < 3:
         return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
-    ok = np.ones(len(code), bool)
+    ok = (letter[:-2] | letter[1:-1]) & (letter[1:-1] | letter[2:])
     for e in (1, 2):  # no gram crosses the end of a text
         at = off[1:] - b0 - e
         ok[at[(at >= 0) & (at < len(ok))]] = False
@@ -148,7 +154,7 @@ def identify(rows: DataFrame) -> DataFrame:
     flat = F.array(*(F.lit(0.0) for _ in languages))
     told = F.coalesce(F.when(F.col("declared").isNotNull(), F.element_at(table, F.col("declared"))), flat)
     fused = F.zip_with(F.zip_with(F.slice("ll", 1, m), told, lambda a, b: a + b), F.col("p_host"), lambda a, p: a + F.log(p))
-    reject = F.when(F.col("letters"), F.col("ll")[m] + F.lit(float(np.log(0.01)))).otherwise(0.0)
+    reject = F.when(F.col("letters"), F.col("ll")[m] + F.lit(float(np.log(REJECT)))).otherwise(0.0)
     x = x.withColumn("fused", F.concat(fused, F.array(reject))).withColumn("top", F.array_max("fused"))
     x = x.withColumn("lang", names[F.array_position("fused", F.col("top")).cast("int") - 1])
     x = x.withColumn("posterior", 1 / F.aggregate("fused", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))

@@ -9,10 +9,10 @@ DE = "der hund lief durch den wald und dann ging er mit den anderen hunden nach
 
 
 def test_grams_stay_inside_texts():
-    t = ["abcd", "", "ab", None, "A\tB", "xyz"]
+    t = ["abcd", "", "ab", None, "A\tB", "xyz", "12 4.5", "a 12"]
     raw, off = K.text_buffers(pa.array(t))
     g, at = language._grams(raw, off)
-    assert np.diff(at).tolist() == [2, 0, 0, 0, 1, 1]
+    assert np.diff(at).tolist() == [2, 0, 0, 0, 1, 1, 0, 0]
     alone = [language._grams(*K.text_buffers(pa.array([x])))[0].tolist() for x in t]
     assert sum(alone, []) == g.tolist()
 
@@ -62,7 +62,7 @@ def brute(data):
             if v in by[k]:
                 p = (by[k][v] + w * p) / (by[k][v].sum() + w)
         f = x[:m] + (np.log(conf[:, langs.index(d)]) if d in langs else 0) + np.log(p)
-        f = np.append(f, x[m] + np.log(0.01) if ok else 0.0)
+        f = np.append(f, x[m] + np.log(language.REJECT) if ok else 0.0)
         k = int(np.argmax(f))
         out[i] = (names[k], 1 / np.exp(f - f[k]).sum(), ok and names[k] != language.UNKNOWN)
     return out
