@@ -72,4 +72,29 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op4_language": op4_language, "language_of_pages": language_of_pages, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_toxicity": op7_toxicity, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"'[^ \t\n\x0b\f\r]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_REPEATED_WINDOWS = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+places AS (SELECT doc_id, p AS i, string_agg(word, ' ') OVER twenty AS x, count(*) OVER twenty AS n FROM words WINDOW twenty AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM places WHERE n = 20),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_NEAR_COPIES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, r.c FROM r JOIN both_ways ON a = r.doc_id WHERE r.c < b)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+#: Of the other queries no whole row can be said in SQL: tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_substrings": _REPEATED_WINDOWS, "op3_neardup": _NEAR_COPIES}
