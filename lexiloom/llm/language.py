@@ -8,12 +8,14 @@ Counts are grouped aggregations over all rows: first the 3-grams of each declare
 language that each text alone would get, declarations, suffixes and hosts. A reject class with evenly
 spread 3-grams stands for texts in no known language.
 
-Languages are the declared ones (lower case, up to the first '-' or '_') with MIN_SHARE of all rows, so
-at most 1 / MIN_SHARE of them; the driver and the closures hold tables of languages x a fixed number of
-3-gram buckets. Host counts stay in Spark and are joined by host.
+Languages are the declared ones (two or three letters in lower case, up to the first '-' or '_') of which all texts together
+have MIN_GRAMS 3-grams, whatever their share of the table; the driver and the closures hold tables of these languages x a fixed
+number of 3-gram buckets, and each row has a likelihood of each. The 3-grams of all declared languages are counted in Spark, host
+counts stay there and are joined by host. A declared language with fewer 3-grams has no table, so nothing speaks against its
+declaration: where a row declares it, it stands in the place of the reject class, at no cost, and the row is kept.
 
 Defined results: a null or empty text has no text evidence, and a row without any letter is rejected; null
-declarations and hosts are no evidence; a table that declares nothing gives null languages
+declarations and hosts are no evidence; a table in which no language has a table gives the declared languages
 and keeps all rows that have a letter; repeated rows get equal results; null ids are kept; other columns are not read.
 """
 
@@ -29,13 +31,19 @@ from pyspark.sql import functions as F
 from lexiloom.llm import kernels as K
 from lexiloom.llm.storage import checkpoint
 
-BUCKETS, MIN_SHARE = 1 << 15, 0.001
+BUCKETS = 1 << 15
+#: Of all rows, for a language to count: none, so that no result turns on how many other rows there are.
+MIN_SHARE = 0.0
 #: Each 3-gram counts as this much evidence, and a text as at most so many 3-grams.
 TEMPER, MOST_GRAMS = 0.2, 400.0
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 20.0
 UNKNOWN = "und"
 #: Prior of the reject class.
 REJECT = 1e-4
+#: With so many 3-grams (2,000) a language's evenly smoothed rest is below the reject class by REJECT for the longest text; with fewer it would take in any noise.
+MIN_GRAMS = round(0.5 * BUCKETS * (REJECT ** (-1 / (TEMPER * MOST_GRAMS)) - 1))
+#: Languages of which a task holds counts, and languages scored at once.
+HELD, WIDTH = 64, 8
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -64,26 +72,46 @@ def declared_language(c: Column) -> Column:
     return F.when(F.length(code) > 0, code)
 
 
-def gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """(languages, BUCKETS) from (declared, text), summed in Spark."""
-    place = {x: k for k, x in enumerate(languages)}
-    size = len(languages) * BUCKETS
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(declared, bucket, n) from (declared, text), summed in Spark. A task that meets more than HELD languages gives its counts away and goes on."""
+
+    def give(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, n in held.items():
+            has = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(has), pa.string()), pa.array(has), pa.array(n[has])], names=["declared", "bucket", "n"])
+        held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        held: dict[str, np.ndarray] = {}
         for b in batches:
-            lang = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
+            codes = b.column(0).dictionary_encode()
+            names, lang = codes.dictionary.to_pylist(), codes.indices.to_numpy()
             raw, off = K.text_buffers(b.column(1))
             for i, j in K.slices(off):
                 g, at = _grams(raw, off[i : j + 1])
-                total += np.bincount(np.repeat(lang[i:j], np.diff(at)) * BUCKETS + g, minlength=size)
-        has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["i", "n"])
-
-    found = rows.where(F.col("declared").isin(languages)).select("declared", "text").mapInArrow(K.calm(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size)
-    out[found.i.to_numpy()] = found.n.to_numpy()
-    return out.reshape(len(languages), BUCKETS)
+                each = np.repeat(lang[i:j], np.diff(at))
+                order = np.argsort(each, kind="stable")
+                met, first = np.unique(each[order], return_index=True)
+                for k, part in zip(met.tolist(), np.split(g[order], first[1:])):
+                    if names[k] not in held and len(held) >= HELD:
+                        yield from give(held)
+                    held.setdefault(names[k], np.zeros(BUCKETS, np.int64))
+                    held[names[k]] += np.bincount(part, minlength=BUCKETS)
+        yield from give(held)
+
+    found = rows.where(F.col("declared").isNotNull()).select("declared", "text").mapInArrow(K.calm(run), "declared string, bucket long, n long")
+    return found.groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
+
+
+def learnt(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages with MIN_GRAMS, and their (languages, BUCKETS) counts."""
+    languages = sorted(r.declared for r in counts.groupBy("declared").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GRAMS).collect())
+    out = np.zeros(len(languages) * BUCKETS)
+    if languages:
+        place = F.array_position(F.array(*map(F.lit, languages)), F.col("declared")) - 1
+        found = counts.where(F.col("declared").isin(languages)).select((place * BUCKETS + F.col("bucket")).alias("i"), "n").toPandas()
+        out[found.i.to_numpy()] = found.n.to_numpy()
+    return languages, out.reshape(len(languages), BUCKETS)
 
 
 def log_table(counts: np.ndarray) -> np.ndarray:
@@ -96,6 +124,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """The rows without their text, with `ll`, the tempered log-likelihood of the text in each language (and the reject class), and `letters`."""
     others = [c for c in rows.columns if c != "text"]
     width = table.shape[1]
+    parts = [(k, np.ascontiguousarray(table[:, k : k + WIDTH])) for k in range(0, width, WIDTH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,26 +133,62 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
             for i, j in K.slices(off):
                 g, at = _grams(raw, off[i : j + 1])
                 if len(g):
-                    rows_ = np.add.reduceat(table[g], np.minimum(at[:-1], len(g) - 1), axis=0, dtype=np.float64)
                     n = np.diff(at)[:, None]
-                    ll[i:j] = np.where(n > 0, rows_ * np.minimum(1, MOST_GRAMS / np.maximum(n, 1)) * TEMPER, 0)
+                    for k, part in parts:
+                        rows_ = np.add.reduceat(part[g], np.minimum(at[:-1], len(g) - 1), axis=0, dtype=np.float64)
+                        ll[i:j, k : k + WIDTH] = np.where(n > 0, rows_ * np.minimum(1, MOST_GRAMS / np.maximum(n, 1)) * TEMPER, 0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(list(ll), pa.list_(pa.float64()))], names=[*others, "ll"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", ll array<double>"
     return rows.select(*others, "text").mapInArrow(K.calm(run), schema)
 
 
+def _smoothed(found: pa.ListArray, parent: np.ndarray, weight: float) -> np.ndarray:
+    """(rows, languages): the counts of (best, count) lists, smoothed towards the parent."""
+    n = np.zeros(parent.shape)
+    best, count = found.flatten().flatten()
+    n[np.repeat(np.arange(len(n)), found.value_lengths().fill_null(0).to_numpy()), best.to_numpy()] = count.to_numpy()
+    return (n + weight * parent) / (n.sum(1, keepdims=True) + weight)
+
+
+def fused(x: DataFrame, languages: list[str], confusion: np.ndarray, overall: np.ndarray) -> DataFrame:
+    """(id, lang, posterior, text_lang, declared, kept) from rows with `ll` and the counts of their suffix and host."""
+    m = len(languages)
+    place = {d: k for k, d in enumerate(languages)}
+    told = np.concatenate([np.log(confusion).T, np.zeros((1, m))])  # the last one for other declarations or none
+    names = np.array([*languages, UNKNOWN], object)
+    out = ["id", "lang", "posterior", "text_lang", "declared", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            declared = b.column("declared").to_pylist()
+            letters = b.column("letters").to_numpy(zero_copy_only=False)
+            ll = b.column("ll").flatten().to_numpy().reshape(b.num_rows, m + 1)
+            p = _smoothed(b.column("suffix_n"), np.tile(overall, (b.num_rows, 1)), SUFFIX_WEIGHT)
+            p = _smoothed(b.column("host_n"), p, HOST_WEIGHT)
+            at = np.array([place.get(d, m) for d in declared], np.int64)
+            alone = letters & (at == m) & np.array([d is not None for d in declared], bool)  # a declared language without a table
+            last = np.where(letters, ll[:, m] + np.where(alone, 0.0, np.log(REJECT)), 0.0)
+            f = np.concatenate([ll[:, :m] + told[at] + np.log(p), last[:, None]], 1)
+            k = f.argmax(1)
+            lang = np.where(alone & (k == m), np.array(declared, object), names[k])
+            posterior = 1 / np.exp(f - f.max(1, keepdims=True)).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(posterior), b.column("text_lang"), b.column("declared"), pa.array(letters & ((k < m) | alone))], names=out)
+
+    kind = dict(x.dtypes)["id"]
+    return x.select("id", "ll", "letters", "text_lang", "declared", "suffix_n", "host_n").mapInArrow(K.calm(run), f"id {kind}, lang string, posterior double, text_lang string, declared string, kept boolean")
+
+
 def identify(rows: DataFrame) -> DataFrame:
     """rows: (id, text, declared, suffix, host). Returns (id, lang, posterior, text_lang, declared, kept)."""
     rows = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), declared_language(F.col("declared")).alias("declared"), F.col("suffix").cast("string").alias("suffix"), F.col("host").cast("string").alias("host"))
     rows = rows.withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    every = rows.groupBy("declared").count().withColumn("share", F.col("count") / F.lit(max(rows.count(), 1)))
-    languages = sorted(r.declared for r in every.where((F.col("share") >= MIN_SHARE) & F.col("declared").isNotNull()).collect())  # at most 1 / MIN_SHARE
+    languages, counts = learnt(checkpoint(gram_counts(rows)))
     if not languages:
         none = F.lit(None)
-        return rows.select("id", none.cast("string").alias("lang"), none.cast("double").alias("posterior"), none.cast("string").alias("text_lang"), "declared", F.col("letters").alias("kept"))
+        return rows.select("id", F.when(F.col("letters"), F.col("declared")).alias("lang"), none.cast("double").alias("posterior"), none.cast("string").alias("text_lang"), "declared", F.col("letters").alias("kept"))
     names = F.array(*map(F.lit, [*languages, UNKNOWN]))
-    scored = text_evidence(rows, log_table(gram_counts(rows, languages)))
+    scored = text_evidence(rows, log_table(counts))
     scored = checkpoint(scored.withColumn("best", F.array_position("ll", F.array_max("ll")).cast("int") - 1).withColumn("text_lang", F.when(F.col("letters"), names[F.col("best")])))
 
     known = scored.where(F.col("text_lang").isNotNull() & (F.col("text_lang") != UNKNOWN))
@@ -140,25 +205,11 @@ def identify(rows: DataFrame) -> DataFrame:
     overall /= overall.sum()
 
     def prior(key: str) -> DataFrame:
-        one_hot = [F.sum((F.col("text_lang") == x).cast("long")) for x in languages]
-        return known.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*one_hot).alias(f"{key}_n"))
-
-    def smoothed(counts: Column, parent: Column, weight: float) -> Column:
-        total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.when(counts.isNull(), parent).otherwise(F.zip_with(counts, parent, lambda n, p: (n + F.lit(weight) * p) / (total + F.lit(weight))))
+        found = known.where(F.col(key).isNotNull()).groupBy(key, "best").count()
+        return found.groupBy(key).agg(F.collect_list(F.struct("best", "count")).alias(f"{key}_n"))  # as long as there are languages, at most
 
-    root = F.array(*(F.lit(float(x)) for x in overall))
-    table = F.create_map(*(x for k, d in enumerate(languages) for x in (F.lit(d), F.array(*(F.lit(float(np.log(confusion[t, k]))) for t in range(m))))))
     x = scored.join(prior("suffix"), "suffix", "left").join(prior("host"), "host", "left")
-    x = x.withColumn("p_suffix", smoothed(F.col("suffix_n"), root, SUFFIX_WEIGHT)).withColumn("p_host", smoothed(F.col("host_n"), F.col("p_suffix"), HOST_WEIGHT))
-    flat = F.array(*(F.lit(0.0) for _ in languages))
-    told = F.coalesce(F.when(F.col("declared").isNotNull(), F.element_at(table, F.col("declared"))), flat)
-    fused = F.zip_with(F.zip_with(F.slice("ll", 1, m), told, lambda a, b: a + b), F.col("p_host"), lambda a, p: a + F.log(p))
-    reject = F.when(F.col("letters"), F.col("ll")[m] + F.lit(float(np.log(REJECT)))).otherwise(0.0)
-    x = x.withColumn("fused", F.concat(fused, F.array(reject))).withColumn("top", F.array_max("fused"))
-    x = x.withColumn("lang", names[F.array_position("fused", F.col("top")).cast("int") - 1])
-    x = x.withColumn("posterior", 1 / F.aggregate("fused", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
-    return x.select("id", "lang", "posterior", "text_lang", "declared", (F.col("letters") & (F.col("lang") != UNKNOWN)).alias("kept"))
+    return fused(x, languages, confusion, overall)
 
 
 def of_documents(df: DataFrame) -> DataFrame:

@@ -95,6 +95,28 @@ def test_kept_documents(docs):
     assert sorted(r.doc_id for r in got.collect()) == [1, 1, 5]
 
 
+def test_languages_of_a_small_share(spark):
+    """Greek is 2 of 3,023 rows, with enough 3-grams for a table; Georgian is one row, without."""
+    el, ka = "\u03b7 \u03b3\u03ac\u03c4\u03b1 \u03ba\u03ac\u03b8\u03b9\u03c3\u03b5 \u03c3\u03c4\u03bf \u03c7\u03b1\u03bb\u03af \u03ba\u03b1\u03b9 \u03bc\u03b5\u03c4\u03ac \u03b2\u03b3\u03ae\u03ba\u03b5 ", "\u10d9\u10d0\u10e2\u10d0 \u10d8\u10ef\u10d3\u10d0 \u10ee\u10d0\u10da\u10d8\u10e9\u10d0\u10d6\u10d4 "
+    few = [(1, el * 20, "el-GR", None, "a"), (2, el * 20, "el", None, "a"), (3, ka * 5, "ka", None, "a"), (4, "1 2", "ka", None, "a"), (5, EN * 3, "ka", None, "a")]
+    noise = np.random.default_rng(1).choice(list("qzxjkvwbp"), (18, 3000))  # in no language
+    few += [(10 + k, "".join(x), None, None, "a") for k, x in enumerate(noise)]
+    for n in (400, 3000):
+        data = few + [(100 + k, EN[k % 20 :] * 3, "en", None, "a") for k in range(n)]
+        got = {r.id: r for r in language.identify(rows(spark, data)).collect()}
+        assert [(got[i].lang, got[i].kept) for i in (1, 2, 3, 5)] == [("el", True), ("el", True), ("ka", True), ("en", True)]
+        assert not got[4].kept and not any(got[10 + k].kept for k in range(18))
+        assert all((got[100 + k].lang, got[100 + k].kept) == ("en", True) for k in range(n))
+
+
+def test_counts_given_away_early(spark, monkeypatch):
+    data = [(k, EN * (k + 1), ("aa", "bb", "cc")[k % 3], None, None) for k in range(12)]
+    count = lambda: sorted(map(tuple, language.gram_counts(rows(spark, data).coalesce(1)).collect()))
+    want = count()
+    monkeypatch.setattr(language, "HELD", 1)
+    assert count() == want and {x for x, *_ in want} == {"aa", "bb", "cc"}
+
+
 def test_visible_text(spark):
     html = "<html lang=de><head><title>no</title></head><body><!-- a\nb --><script>x='</p>'</script><p class='q'>Guten&nbsp;Tag<br>hier</body>"
     (r,) = spark.createDataFrame([(html,)], "html string").select(language.visible_text(language.F.col("html")).alias("t")).collect()
