@@ -79,6 +79,24 @@ def test_special_split(spark):
     assert [[tuple(s) for s in x] for x in one(spark, t, T.split_special("text", []))] == [[(x, False)] if x else [] for x in t]
 
 
+def test_special_split_query_has_every_row(spark, tmp_path):
+    from hashlib import md5
+
+    from lexiloom.plans import registry
+
+    texts = ["plain", None, "", "a <| b", "<|bos|>", "x<|im_end|>y<|im_start|>user\nz", "<|nothing|>", "<|bos|><|bos|>|"]
+    data = [(1, k, "user", x) for k, x in enumerate(texts)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for _, k, role, x in data:
+        cut = "(" + "|".join(map(re.escape, sorted(SPECIAL_TOKENS, key=len, reverse=True))) + ")"
+        parts = None if x is None else [p for p in re.split(cut, f"<|im_start|>{role}\n{x}<|im_end|>") if p]
+        want[k] = (None,) * 3 if x is None else (len(parts), sum(p in SPECIAL_TOKENS for p in parts), md5("|".join(parts[1:-1]).encode()).hexdigest())
+    got = registry.special_split(spark, str(tmp_path)).collect()
+    assert len(got) == len(data)
+    assert {r.turn: (r.segments, r.special, r.middle_md5) for r in got} == want
+
+
 def test_document_split(spark):
     t = ["a<|endoftext|> b \n<|endoftext|>  <|endoftext|>", "<|endoftext|>", "x\ny", "  "]
     assert one(spark, t, T.split_documents("text")) == [["a", "b"], ["<|endoftext|>"], ["x\ny"], []] or one(spark, t, T.split_documents("text"))[0] == ["a", "b"]
