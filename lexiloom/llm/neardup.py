@@ -15,8 +15,9 @@ A link of Jaccard index j shares no band with probability (1 - j^5)^48: 2e-6 at
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a single word is one shingle; a null text,
 or one without words, has no shingles and no links; a null doc_id stays null, is never the smallest
-of its component if there is another, and has a null component if alone; rows of equal id are
-judged by their own texts; empty tables give empty results; other columns are not read.
+of its component if there is another, and has a null component if all ids in it are null; rows of equal id are
+judged by their own texts; of each component one row is kept, of the least id, then the least hash of its text, and one
+of several rows alike in both; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -279,17 +280,29 @@ def judged(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, su
     links = checkpoint(links.unionByName(verified(across(rest, nodes, percent), nodes, percent)))
 
     label = components(links)
-    first = sketch.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"))
-    first = first.join(label, "node", "left").select("node", "rid", F.coalesce("component", "node").alias("comp"))
-    least = first.groupBy("comp").agg(F.min("rid").alias("least"))
+    first = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tie")).alias("key"))
+    first = first.join(label, "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
+    least = first.groupBy("comp").agg(F.min("key").alias("least"))
     place = first.join(least, "comp").select("node", "least")
-    out = sketch.select("doc_id", "rid", "tie", "n", "node").join(place, "node", "left").select("doc_id", "rid", "tie", F.col("n").alias("n_shingles"), F.coalesce("least", "rid").alias("least"))
-    component = F.when(F.col("least") < _NULL_IDS, F.col("least"))
-    return out.select("doc_id", "rid", "tie", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = sketch.select("doc_id", "rid", "tie", F.col("n").alias("n_shingles"), "node").join(place, "node", "left")
+    component = F.coalesce("least.rid", "rid")
+    copy = F.row_number().over(Window.partitionBy("rid", "tie").orderBy("n_shingles"))
+    kept = F.col("least").isNull() | ((F.col("rid") == F.col("least.rid")) & (F.col("tie") == F.col("least.tie")) & (copy == 1))
+    return out.select("doc_id", "rid", "tie", "n_shingles", F.when(component < _NULL_IDS, component).alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents of which no smaller id is in the same component."""
+    """One document of each component, that of the least id."""
     rid, tie = _row_key(id_col, text_col)
-    gone = judged(df, id_col, text_col, **how).where(~F.col("kept")).select(F.col("rid").alias("gone_rid"), F.col("tie").alias("gone_tie")).distinct()
-    return df.join(gone, (rid == F.col("gone_rid")) & (tie == F.col("gone_tie")), "left_anti")
+    keys = checkpoint(judged(df, id_col, text_col, **how).groupBy("rid", "tie").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"))
+
+    def only(rows: DataFrame, which: DataFrame, join: str) -> DataFrame:
+        return rows.join(which.select(F.col("rid").alias("k_rid"), F.col("tie").alias("k_tie")), (rid == F.col("k_rid")) & (tie == F.col("k_tie")), join)
+
+    several = keys.where("stay > 0")
+    if several.isEmpty():
+        return only(df, keys, "left_anti")
+    copies = only(df, several, "left_semi")  # rows of equal id and text
+    place = F.row_number().over(Window.partitionBy(rid, tie).orderBy(F.xxhash64(*df.columns)))
+    one = copies.withColumn("l_place", place).where("l_place = 1").drop("l_place")
+    return only(df, keys, "left_anti").unionByName(one)

@@ -163,6 +163,20 @@ def test_empty_table_and_the_documents_kept(docs):
     assert (3, "a b c d e f") not in rows and (None, "a b c d e f") not in rows
 
 
+def test_one_row_stays_of_each_component(docs):
+    """Components of null ids alone, repeated least ids and repeated rows; texts without links all stay."""
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    t = [near, near + " u", near + " u", "k1 k2 k3", "k1 k2 k3", "m1 m2 m3 m4 m5 m6 m7 m8", "m1 m2 m3 m4 m5 m6 m7 m9", "m1 m2 m3 m4 m5 m6 m7 m8", None, None, "p q", "r s", "", ""]
+    d = docs(t, ids=[None, None, None, None, None, 7, 7, 7, None, None, 9, 9, 4, 4])
+    rows = [tuple(r) for r in neardup.near_duplicates(d.repartition(3)).collect()]
+    assert len(rows) == len(t)
+    assert sorted(((i, n) for i, n, _, kept in rows if kept and n not in (19, 20)), key=str) == sorted([(None, 2), (7, 7), (None, 0), (None, 0), (9, 1), (9, 1), (4, 0), (4, 0)], key=str)
+    assert sum(kept for _, n, _, kept in rows if n in (19, 20)) == 1
+    kept = [(r.doc_id, r.text) for r in neardup.deduplicated(d).collect()]
+    assert len(kept) == 9 and len([x for x in kept if x[1] and x[1].startswith("a b")]) == 1
+    assert kept.count((None, "k1 k2 k3")) == 1 and kept.count((None, None)) == kept.count((4, "")) == 2 and {(9, "p q"), (9, "r s")} <= set(kept)
+
+
 def test_query_over_a_whole_table(spark):
     from tests.llm.common import table
 
