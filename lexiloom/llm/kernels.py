@@ -25,6 +25,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Odd bases, 3 modulo 8, of the rolling hashes modulo 2^64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93
+#: Words of the widest window that is one Rabin-Karp hash.
+BASE_WORDS = 16
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -74,7 +76,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rabin-Karp hashes of the runs values[start:end], equal for equal runs wherever they lie."""
+    """Rabin-Karp hashes modulo 2^64 of the short runs values[start:end], equal for equal runs wherever they lie.
+
+    Runs of two alternating values lose bits with their length (13 of 64 for 16 values, all for 1,024): see run_hashes for long ones.
+    """
     up, down = powers(base, len(values) + 1)
     total = np.empty(len(values) + 1, U64)
     total[0] = 0
@@ -82,6 +87,38 @@ def rolling(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray)
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_PLACE_STEP, _SIZE_STEP = U64(0x9E6C63D0876A9A47), U64(0xD1B54A32D192ED03)
+
+
+def loads(b: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit number at every place of a byte run, zeros beyond its end."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    return np.ndarray(len(b), "<u8", padded, 0, (1,))
+
+
+def run_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs b[start:end], equal for equal runs. Every 8 bytes are mixed with their place in the run before they
+    are summed, so that no pattern of bytes, however long or regular, cancels out (as it can in a polynomial modulo 2^64)."""
+    at = loads(b)
+    size = (ends - starts).astype(np.int64)
+    n = np.maximum(-(-size // 8), 1)
+    x = at[starts] if len(at) else np.zeros(len(starts), U64)
+    total = mix((x & _FIRST[np.minimum(size, 8)]) + _PLACE_STEP)
+    long = np.flatnonzero(n > 1)
+    if len(long):
+        more = n[long] - 1
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        place = np.repeat(starts[long], more) + 8 * k
+        left = np.repeat(ends[long], more) - place
+        piece = mix((at[place] & _FIRST[np.minimum(left, 8)]) + _PLACE_STEP * (k + 1).astype(U64))
+        total[long] += np.add.reduceat(piece, first)
+    return mix(total ^ (size.astype(U64) * _SIZE_STEP))
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -151,7 +188,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[
         b = raw[cut[i] : cut[j]]
         if lower:
             b = _LOWER[b]
-        parts.append((rolling(_BYTE[b], BYTE_BASE, s - cut[i], e - cut[i]), s, e))
+        parts.append((run_hashes(b, s - cut[i], e - cut[i]), s, e))
     if not parts:
         z = np.zeros(0, np.int64)
         return z.astype(U64), z, z, np.zeros(len(off), np.int64)
@@ -168,7 +205,11 @@ def lower_bytes(b: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, word_off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (in words) and Rabin-Karp hashes of every window of `width` words inside one document."""
+    """Starts (in words) and hashes of every window of `width` words inside one document.
+
+    Windows of up to BASE_WORDS words have the Rabin-Karp hash of the (mixed) word hashes; of wider ones, the hashes of their first and
+    last halves are mixed, again and again, so that sums modulo 2^64 run over BASE_WORDS terms at most.
+    """
     if len(h) < width:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     ok = np.ones(len(h) + 1, np.int8)
@@ -177,7 +218,14 @@ def window_hashes(h: np.ndarray, word_off: np.ndarray, width: int) -> tuple[np.n
         at = word_off[1:] - e
         ok[at[at >= 0]] = 0
     starts = np.flatnonzero(ok)
-    return starts, rolling(h, WORD_BASE, starts, starts + width)
+    size = min(width, BASE_WORDS)
+    every = np.arange(len(h) - size + 1)
+    found = rolling(h, WORD_BASE, every, every + size)
+    while size < width:
+        step = min(size, width - size)
+        found = mix(found[: len(found) - step] * U64(WORD_BASE) + found[step:])
+        size += step
+    return starts, found[starts]
 
 
 def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
