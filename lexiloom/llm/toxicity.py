@@ -2,8 +2,9 @@
 
 Tokens are words (A-Z lower-cased, ASCII punctuation stripped at both ends) and, for the forms of a stem, the
 first PREFIX bytes of longer ones. Their log-odds between toxic and other labelled documents, with a
-Dirichlet prior in proportion to all labelled documents, count documents, so that a repeated line
-weighs once. Tokens that are surely toxic score their log-odds, less their uncertainty; all other words
+Dirichlet prior in proportion to all labelled documents, count documents of different text, so that neither a repeated line
+nor a copied document weighs twice: documents whose word pairs have the same two least hashes (copies always, near
+copies mostly) count as one, which is toxic if one of them is. Tokens that are surely toxic score their log-odds, less their uncertainty; all other words
 score -DRIFT. Ruzzo and Tompa's scan finds all maximal segments of a text in linear time. The best one
 is calibrated as an extreme value (Karlin and Altschul: a text of n words reaches x by chance K n e^(-lambda x)
 times), and that by logistic regression on labelled rows kept from the word counts.
@@ -54,9 +55,9 @@ def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         a += _PUNCT[raw[a]] & (a < b - 1) if len(a) else 0
         b -= _PUNCT[raw[b - 1]] & (b > a + 1) if len(b) else 0
     base = int(off[0])
-    values = K.byte_values(K.lower_bytes(raw[base : int(off[-1])]))
-    h = K.rolling(values, K.BYTE_BASE, a - base, b - base)
-    p = K.mix(K.rolling(values, K.BYTE_BASE, a - base, np.minimum(b, a + PREFIX) - base) ^ _MARK)
+    low = K.lower_bytes(raw[base : int(off[-1])])
+    h = K.run_hashes(low, a - base, b - base)
+    p = K.mix(K.run_hashes(low, a - base, np.minimum(b, a + PREFIX) - base) ^ _MARK)
     return h, np.where(b - a > PREFIX, p, h), word_off, s
 
 
@@ -71,22 +72,38 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+#: Counts the documents themselves.
+ANY = 0
+
+
+def copy_keys(h: np.ndarray, word_off: np.ndarray) -> np.ndarray:
+    """A number for each document, equal for copies and mostly for near copies: of its word pairs' hashes the least in two orders."""
+    size = np.diff(word_off)
+    pair = K.mix(h[:-1] * np.uint64(K.WORD_BASE) + h[1:]) if len(h) > 1 else h[:0]
+    first = word_off[:-1]
+    out = np.where(size == 1, h[np.minimum(first, max(len(h) - 1, 0))] if len(h) else 0, 0).astype(np.uint64)
+    some = np.flatnonzero(size > 1)
+    if len(some):
+        edges = np.stack([first[some], word_off[1:][some] - 1], 1).ravel()  # no pair crosses two documents
+        least = [np.minimum.reduceat(np.append(K.mix(pair ^ m), ~np.uint64(0)), edges)[::2] for m in (np.uint64(0), _MARK)]
+        out[some] = K.mix(least[0] * np.uint64(K.WORD_BASE) + least[1])
+    return out
+
+
 def token_counts(sample: DataFrame) -> DataFrame:
-    """(token, toxic, other): in how many of the (text, toxic) rows each token is."""
+    """(token, toxic, other): in how many of the (text, toxic) rows each token is, copies counted once; ANY is in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
             for i, j, h, p, word_off in _doc_tokens(b.column(0)):
-                parts = [np.unique(np.concatenate([h[x:y], p[x:y]])) for x, y in zip(word_off[:-1], word_off[1:])]
-                keys = np.concatenate(parts)
-                weight = np.repeat(label[i:j], [len(x) for x in parts])
-                values, inverse = np.unique(keys, return_inverse=True)
-                toxic = np.bincount(inverse, weight, len(values)).astype(np.int64)
-                every = np.bincount(inverse, minlength=len(values)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], names=["token", "toxic", "other"])
+                parts = [np.unique(np.concatenate([h[x:y], p[x:y], [np.uint64(ANY)]])) for x, y in zip(word_off[:-1], word_off[1:])]
+                size = [len(x) for x in parts]
+                keys = np.repeat(copy_keys(h, word_off).view(np.int64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys), pa.array(np.repeat(label[i:j], size))], names=["token", "copy", "toxic"])
 
-    return sample.select("text", "toxic").mapInArrow(K.calm(run), "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    once = sample.select("text", "toxic").mapInArrow(K.calm(run), "token long, copy long, toxic int").groupBy("token", "copy").agg(F.max("toxic").alias("toxic"))
+    return once.groupBy("token").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("other"))
 
 
 def log_odds(counts: DataFrame, toxic_docs: int, other_docs: int) -> DataFrame:
@@ -94,33 +111,39 @@ def log_odds(counts: DataFrame, toxic_docs: int, other_docs: int) -> DataFrame:
     n1, n0 = float(toxic_docs), float(other_docs)
     prior = PRIOR * (F.col("toxic") + F.col("other")) / (n1 + n0)
     y1, y0 = F.col("toxic") + prior, F.col("other") + prior
-    delta = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
+    rest = lambda n, y: F.greatest(n + PRIOR - y, F.lit(1e-9))  # noqa: E731  # none for a token of all documents
+    delta = F.log(y1 / rest(n1, y1)) - F.log(y0 / rest(n0, y0))
     error = F.sqrt(1 / y1 + 1 / y0)
-    c = counts.withColumn("delta", delta).withColumn("error", error)
+    c = counts.where(F.col("token") != ANY).withColumn("delta", delta).withColumn("error", error)
     bound = F.col("delta") - F.col("error")
     return c.where((F.col("toxic") >= 4) & (F.col("delta") / F.col("error") >= SURE)).select("token", F.least(bound, F.lit(CAP)).alias("score")).where("score > 0")
 
 
 def segments(gain: list[float], before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
-    """Ruzzo and Tompa: all maximal segments (first, last, score) of the positive tokens, given the cumulative scores before and after each."""
+    """Ruzzo and Tompa: all maximal segments (first, last, score) of the positive tokens, given the cumulative scores before and after each.
+
+    Each candidate points at the last one before it that starts lower; the search for a new one's follows these pointers, so
+    that a candidate which has been passed over is not met again, and all takes linear time.
+    """
     left: list[float] = []
     right: list[float] = []
     first: list[int] = []
     last: list[int] = []
+    lower: list[int] = []
     for k in range(len(gain)):
-        lo, hi, a, b = before[k], after[k], k, k
-        while True:
-            j = len(left) - 1
-            while j >= 0 and left[j] >= lo:
-                j -= 1
-            if j < 0 or right[j] >= hi:
-                break
-            lo, a = left[j], first[j]
-            del left[j:], right[j:], first[j:], last[j:]
+        lo, hi, a = before[k], after[k], k
+        j = cut = len(left)
+        j -= 1
+        while j >= 0 and left[j] >= lo:
+            j = lower[j]
+        while j >= 0 and right[j] < hi:  # joined with all candidates from j on
+            lo, a, cut, j = left[j], first[j], j, lower[j]
+        del left[cut:], right[cut:], first[cut:], last[cut:], lower[cut:]
         left.append(lo)
         right.append(hi)
         first.append(a)
-        last.append(b)
+        last.append(k)
+        lower.append(j)
     return [(a, b, r - x) for a, b, r, x in zip(first, last, right, left)]
 
 
@@ -191,10 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     sample = checkpoint(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("tune", part >= 20))
     kinds = {(r.tune, r.toxic): r["count"] for r in sample.groupBy("tune", "toxic").count().collect()}
-    if not all(kinds.get((False, t)) for t in (0, 1)):
+    if not all(kinds.get((False, t)) for t in (0, 1)):  # a label may also be of no document: see below
         return None
     texts = docs.join(F.broadcast(sample), "doc_id")  # at most `limit` rows of two numbers
-    found = log_odds(token_counts(texts.where(~F.col("tune"))), kinds[False, 1], kinds[False, 0]).collect()
+    counts = checkpoint(token_counts(texts.where(~F.col("tune"))))
+    every = counts.where(F.col("token") == ANY).first()
+    if not every.toxic or not every.other:
+        return None
+    found = log_odds(counts, every.toxic, every.other).collect()
     keys = np.array([r.token for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     scanner = Scanner(keys[order], np.array([r.score for r in found])[order])
