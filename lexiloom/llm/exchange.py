@@ -6,28 +6,34 @@ occurs there, so no reducer gets more than its share and no group of copies lies
 reducer answers each block about its own keys, in their order. Both shuffles carry some
 bytes a key instead of a row. Further rounds refine the question.
 
+Messages number blocks x reducers at most. Both grow with the square root of the input, and so does what each of them holds: messages
+grow in proportion to the input, until a block has its share of an executor's memory (`most_bytes`).
+
 All rounds of an operator are one plan over one exchange of the documents, which Spark reuses for
 each round and recomputes where an executor is lost; nothing is kept on a machine's own disk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels as K
-from lexiloom.llm.fingerprint import range_bounds
+from lexiloom.llm.ranges import LEAST, ranges
 
-#: Bytes of text in a block. Larger blocks need more of a worker's memory and send fewer messages: some hundred MB suit 100 TB.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, at least, and for each message; of reducers, bytes of the text whose keys they hold, for each byte of a block.
+BLOCK_BYTES, MESSAGE_BYTES, PER_REDUCER = 4 << 20, 1 << 16, 2
+#: A task's memory is so many times a block, at most.
+MEMORY_SHARE = 24
 #: Tasks and reducers at most; beyond, a task has several blocks and a reducer a wider range.
-MOST_TASKS, MOST_REDUCERS = 1 << 17, 1 << 16
+MOST_TASKS, MOST_REDUCERS = 1 << 17, 1 << 20
 MESSAGE = "to long, block long, kind int, keys binary, extra binary"
 _ARROW = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 #: Kinds of messages: a question to a reducer, its answer, and what a block keeps for its own next round.
@@ -40,23 +46,31 @@ class Blocks:
     reducers: int
 
 
-def in_blocks(df: DataFrame, text_col: str, order_col: str | None = None, block_bytes: int = BLOCK_BYTES) -> Blocks:
-    """The rows with a `block` number: ranges of order_col if that is given (nulls first), else by a hash of the row."""
-    size = df.select(F.sum(F.octet_length(text_col)).alias("b")).first().b or 0
-    n = max(1, -(-size // block_bytes))
-    if order_col:
-        key = F.coalesce(F.col(order_col).cast("long"), F.lit(-(2**63)))
-        bounds = np.array(range_bounds(df.select(key.alias("k")), "k", n), np.int64)
+def most_bytes(spark: SparkSession) -> int:
+    """Bytes of the largest block: a share of the memory that an executor has for each of its cores."""
+    conf = spark.sparkContext.getConf()
+    found = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get("spark.executor.memory", "1g").strip().lower())
+    size = int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else 1 << 30
+    return max(BLOCK_BYTES, size // (max(1, int(conf.get("spark.executor.cores", "2"))) * MEMORY_SHARE))
+
+
+def counts(total: int, most: int, block_bytes: int | None = None) -> tuple[int, int]:
+    """(blocks, reducers) for so many bytes of text, with blocks of `most` bytes at most, or of block_bytes."""
+    unit = min(max(math.isqrt(total * MESSAGE_BYTES), BLOCK_BYTES), most) if block_bytes is None else block_bytes
+    return max(1, -(-total // unit)), min(max(1, -(-total // (PER_REDUCER * unit))), MOST_REDUCERS)
 
-        @F.pandas_udf("long")
-        def place(k: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), "right").astype(np.int64))
 
-        block = place(key)
+def in_blocks(df: DataFrame, text_col: str, order: Sequence[str] | None = None, block_bytes: int | None = None) -> Blocks:
+    """The rows with a `block` number: ascending ranges of the two long columns in `order` (nulls first), else by a hash of the row."""
+    total = df.select(F.sum(F.octet_length(text_col)).alias("b")).first().b or 0
+    n, reducers = counts(total, most_bytes(df.sparkSession), block_bytes)
+    if order:
+        key = F.coalesce(F.col(order[0]), F.lit(LEAST))
+        block = ranges(df.select(key.alias("k")), "k", n)(key, F.col(order[1]))
     else:
         block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(n)).cast("long")
     parts = min(MOST_TASKS, max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return Blocks(df.withColumn("block", block).repartition(parts, "block"), min(n, MOST_REDUCERS))
+    return Blocks(df.withColumn("block", block).repartition(parts, "block"), reducers)
 
 
 def ask(block: int, keys: np.ndarray, reducers: int, extra: Callable[[int, int], bytes] | None = None, kind: int = ASK) -> list[tuple]:

@@ -18,12 +18,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels as K
+from lexiloom.llm.ranges import LEAST, ranges
 
 GRAM, LANES, WIDE = 12, 256, 8
 
@@ -122,44 +122,23 @@ def _pairs(ids: list, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PAIR_ARROW)], schema=_PAIR_ARROW)
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most parts - 1 ascending values that cut a long column into about equal ranges, from one scan of that column."""
-    found = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    return sorted({int(x) for x in found})
-
-
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half (rounded down) of its characters gives way to as many first ones of the next text by id, after the last the first.
 
-    The rows are cut into ranges of the id and sorted within them, in one shuffle; the first row of
-    each range is also sent to the range before it (the first of all to the last), so that no
-    window over the whole table is needed. The driver holds one id per range.
+    The rows are cut into ranges of (id, hash of the text) and sorted within them, in one shuffle, so that rows of one id, or without
+    one, need not lie in one task; the first row of each range is also sent to the range before it (the first of all to the last), so
+    that no window over the whole table is needed. The driver holds one id and hash per range.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = -(2**63)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(least)))
-    bounds = np.array(range_bounds(docs, "key", parts), np.int64)
-
-    @F.pandas_udf("int")
-    def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "right").astype(np.int32))
-
-    firsts = [(r["b"], r["k"]) for r in docs.select("key").withColumn("b", place("key")).groupBy("b").agg(F.min("key").alias("k")).orderBy("b").collect()]
-    first_ids = np.array([k for _, k in firsts], np.int64)
-    before = np.array([b for b, _ in firsts[-1:] + firsts[:-1]], np.int32)
-
-    @F.pandas_udf("int")
-    def also(key: pd.Series) -> pd.Series:
-        k = key.to_numpy(np.int64)
-        if not len(first_ids):
-            return pd.Series(np.full(len(k), -1, np.int32))
-        i = np.clip(np.searchsorted(first_ids, k), 0, len(first_ids) - 1)
-        return pd.Series(np.where(first_ids[i] == k, before[i], -1).astype(np.int32))
-
-    both = F.array(F.struct(place("key").alias("b"), F.lit(0).alias("guest")), F.struct(also("key").alias("b"), F.lit(1).alias("guest")))
-    sent = docs.select("doc_id", "key", "text", F.explode(F.filter(both, lambda x: x["b"] >= 0)).alias("to")).select("doc_id", "key", "text", "to.b", "to.guest")
-    near = sent.repartitionById(max(1, len(bounds) + 1), F.col("b")).sortWithinPartitions("b", "guest", "key", F.xxhash64("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LEAST))).withColumn("tie", F.xxhash64("text"))
+    keyed = docs.withColumn("b", ranges(docs, "key", parts)(F.col("key"), F.col("tie")))
+    found = [(r.b, r.first.key, r.first.tie) for r in keyed.groupBy("b").agg(F.min(F.struct("key", "tie")).alias("first")).orderBy("b").collect()]
+    firsts = spark.createDataFrame([(k, t, before[0]) for (_, k, t), before in zip(found, found[-1:] + found[:-1])], "key long, tie long, before long")
+    both = F.array(F.struct("b", F.lit(0).alias("guest")), F.struct(F.col("before").alias("b"), F.lit(1).alias("guest")))
+    sent = keyed.join(F.broadcast(firsts), ["key", "tie"], "left")  # a row of three numbers for each range
+    sent = sent.select("doc_id", "key", "tie", "text", F.explode(F.filter(both, lambda x: x["b"].isNotNull())).alias("to")).select("doc_id", "key", "tie", "text", "to.b", "to.guest")
+    near = sent.repartitionById(max([1, *(b + 1 for b, *_ in found)]), F.col("b").cast("int")).sortWithinPartitions("b", "guest", "key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []

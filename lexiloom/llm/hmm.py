@@ -252,7 +252,7 @@ def held_out(doc_id: Column) -> Column:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES, block_bytes: int | None = None) -> DataFrame:
     """Train on the rows that are not held out, then score every row (SCORES)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = docs.where(~F.col("held_out")).select("text")

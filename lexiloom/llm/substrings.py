@@ -4,11 +4,12 @@ A word is `[^\\x20\\x09-\\x0D]+`, unchanged. Each window whose word sequence als
 (smaller doc_id, or same document and earlier start) goes, judged on the input; the windows
 that go are merged into maximal removal intervals.
 
-Blocks are ranges of doc_id, so that "earlier" between blocks is the order of their numbers: a block
+Blocks are ranges of (doc_id, hash of the text), so that "earlier" between blocks is the order of their numbers: a block
 sends the distinct hashes of its windows, the reducer of a range of hashes counts them over
 all blocks and answers which of them a lower block has; within a block the first occurrence
 is known. A window's hash costs 5 to 6 bytes of shuffle, whatever the number of copies.
-Equality is that of 64-bit hashes: about n^2 / 2^65 windows of n are taken for equal wrongly.
+Equality is that of 64-bit hashes. Words are hashed by mixed pieces, and sums run over 16 words at most (see kernels), so no
+pattern of words collides by construction; about n^2 / 2^65 windows of n are taken for equal wrongly by chance.
 
 Defined results: a null text has no words; texts of fewer words than `width` are kept whole; a null
 doc_id comes first; rows of equal doc_id count in the order of a hash of their text (so of equal
@@ -41,7 +42,7 @@ def _windows(text: pa.ChunkedArray, width: int):
     return raw, s, e, word_off, at, win
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = X.BLOCK_BYTES, *, digest: bool = True, keep_text: bool = True) -> DataFrame:
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int | None = None, *, digest: bool = True, keep_text: bool = True) -> DataFrame:
     """The documents' columns, prefixed r_, and n_words, n_removed, kept_sha256 (if digest), kept_text (if keep_text), spans (removed word intervals)."""
     cols = df.columns
     work = df.select(
@@ -49,7 +50,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         F.xxhash64(text_col).alias("s_tie"),
     )
     words = f"r_{text_col}"  # null counts as empty
-    blocks = X.in_blocks(work, words, f"r_{id_col}", block_bytes)
+    blocks = X.in_blocks(work.withColumn("s_id", F.when(F.col("s_null"), F.col("s_key"))), words, ("s_id", "s_tie"), block_bytes)
     reducers = blocks.reducers
 
     def send(block: int, docs: pa.Table) -> pa.Table:

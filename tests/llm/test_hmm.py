@@ -109,6 +109,17 @@ def test_scores_of_small_tables(docs):
         check(list(zip(ids, texts)), hmm.scores(d.repartition(3), block_bytes=block))
 
 
+def test_regular_words_are_not_known(docs):
+    from tests.llm.test_substrings import thue_morse
+
+    words = [thue_morse(n) for n in (256, 512, 1024, 2048)]
+    seen = [k for k in range(60) if not out(k)][:4]
+    new = [k for k in range(60) if out(k)][:4]
+    rows = [(i, w[0]) for i, w in zip(seen, words)] + [(i, w[1]) for i, w in zip(new, words)]
+    got = check(rows, hmm.scores(docs([t for _, t in rows], ids=[i for i, _ in rows])))
+    assert all(g[3] == 1 for g in got if g[1])  # the end alone
+
+
 def test_no_training_rows_no_rows_and_equal_ids(docs):
     held = [i for i in range(60) if out(i)][:4]
     check(list(zip(held, ["a b", "a", None, ""])), hmm.scores(docs(["a b", "a", None, ""], ids=held)))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -62,6 +63,68 @@ def test_word_hashes_are_those_of_the_words():
         assert len(set(h.tolist())) == len(set(want)) == len(set(zip(h.tolist(), want)))
 
 
+def thue_morse(n):
+    """Two words of n bytes, each the other with its letters swapped: polynomials modulo 2^64 take them for equal from 1,024 on."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_and_windows_differ(docs):
+    rest = " ".join(f"w{i}" for i in range(19))
+    t = [f"{w} {rest}" for n in (256, 512, 1024, 2048) for w in thue_morse(n)]
+    for a, b in (("x", "y"), ("longer", "words")):  # the same pattern, of words
+        t += [" ".join(a if c == "a" else b for c in w) for w in thue_morse(64)]
+    assert got(substrings.digests(docs(t))) == brute(list(enumerate(t)))
+    t = [" ".join(w) for w in thue_morse(2048)]
+    assert got(substrings.digests(docs(t), width=2048)) == brute(list(enumerate(t)), 2048)
+
+
+def test_messages_grow_with_the_input(docs, monkeypatch):
+    """Four times the rows send about four times the messages, not sixteen times."""
+    from lexiloom.llm import exchange as X
+
+    monkeypatch.setattr(X, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(X, "MESSAGE_BYTES", 256)
+    rng = random.Random(5)
+    sent = []
+    for n in (200, 800):
+        d = docs([" ".join(str(rng.random()) for _ in range(40)) for _ in range(n)])
+        b = X.in_blocks(d, "text")
+        send = lambda block, t, n=b.reducers: X.rows(X.ask(block, np.unique(K.word_hashes(*K.text_buffers(t["text"]))[0]), n))
+        sent.append(X.mapped(b, send, X.MESSAGE).count())
+    assert 200 < sent[0] and 3 * sent[0] < sent[1] < 5 * sent[0]
+    tb = 1 << 40
+    for total in (1 << 30, 1 << 34, tb):
+        few, many = (math.prod(X.counts(k * total, 1 << 40)) for k in (1, 4))
+        assert 3.9 < many / few < 4.1
+
+
+def test_ranges_are_in_order_and_split_equal_keys():
+    from lexiloom.llm import ranges
+
+    rng = np.random.default_rng(2)
+    key = np.concatenate([np.full(4000, ranges.LEAST), rng.integers(-50, 10**6, 4000), np.full(4000, 77)])
+    tie = rng.integers(-(2**63), 2**63, len(key))
+    q = np.sort(key)
+    for parts, each in ((12, 1), (12, 5), (3, 4)):
+        bounds = q[np.linspace(0, len(q) - 1, parts + 1).astype(int)]
+        at = ranges.placed(bounds, each, key, tie)
+        order = np.lexsort((tie, key))
+        assert (np.diff(at[order]) >= 0).all() and at.min() >= 0 and at.max() < (parts + 1) * each
+        assert np.bincount(at).max() < 3.2 * len(key) / parts
+
+
+def test_ids_that_many_rows_share(docs):
+    """Rows of equal or no id are split over blocks; what they lose does not depend on that."""
+    rng = random.Random(9)
+    t = texts(11, 150)
+    ids = [rng.choice([None, None, 7, k]) for k in range(len(t))]
+    many, one = (got(substrings.digests(docs(t, ids=ids), block_bytes=b)) for b in (500, 1 << 20))
+    assert many == one and len(many) == len(t) and any(r[2] for r in many)
+
+
 def test_against_brute_force(docs):
     for seed, block in ((1, 1 << 20), (2, 700), (3, 4000)):
         t = texts(seed)
