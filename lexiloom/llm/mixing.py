@@ -7,12 +7,12 @@ flight phase moves those probabilities through the null space of two constraints
 documents of the source, until all but two units of a block are decided; the undecided ones of many
 blocks are flown again together, and only the last two of a source are landed.
 
-A hot source is split into blocks by a hash of the id, so that no task holds more than a block.
-Units are the distinct (id, source, size); rows that agree in all three are taken alike.
+A hot source is split into blocks by a hash of the unit, so that no task holds more than a block.
+Units are rows, whether their ids differ or not: equal rows are counted, then flown one by one, by their number.
 
-Defined results: a null text has size 0; a null source is a source of its own, sorted last; null ids
-are kept; empty tables give empty results; a source of size 0 has target 0; extra columns are
-not read. Every draw is a hash of the unit, so that reruns agree.
+Defined results: a null text has size 0; a null source is a source of its own, sorted last; null and repeated ids
+are kept, each row is a document of its own; empty tables give empty results; a source of size 0 has target 0; extra columns, of any
+name, pass through. Every draw is a hash of the unit, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiloom.llm.rows import packed, row_hash, unpacked
+from lexiloom.llm.storage import checkpoint
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Units flown together in the first round, and blocks whose leftovers are flown together in the next.
 BLOCK_UNITS, MERGE_BLOCKS, MOST = 20_000, 2_000, 3.0
@@ -111,11 +114,11 @@ def _flight(level: int, final: bool = False):
 
 
 def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
-    """(source, units, source_size, target) from (source, size): closed form of sharing by weight 1, 2, 3, ... and resharing what exceeds `most` sizes.
+    """(source, units, source_size, target) from (source, size, n), the sizes of n units each: closed form of sharing by weight 1, 2, 3, ... and resharing what exceeds `most` sizes.
 
     One row a source: its windows run over the table of sources, not over documents.
     """
-    s = sizes.groupBy("source").agg(F.count("*").alias("units"), F.sum("size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("n").alias("units"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     s = s.withColumn("weight", (F.row_number().over(W.orderBy(F.asc_nulls_last("source"))) - 1) % 3 + 1)
     s = s.withColumn("fill", most * F.col("source_size") / F.col("weight"))
     before = W.orderBy("fill", F.asc_nulls_last("source")).rowsBetween(W.unboundedPreceding, -1)
@@ -132,33 +135,44 @@ def word_count(text: Column) -> Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, most: float = MOST) -> DataFrame:
-    """One row per distinct (doc_id, source, size) with n rows: (doc_id, source, size, n, source_size, target, copies)."""
-    sizes = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    goal = targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), most)
-    u = units.alias("u").join(goal.alias("g"), F.col("u.source").eqNullSafe(F.col("g.source"))).select("u.*", "g.units", "g.source_size", "g.target")
+    """One row per document: (doc_id, source, size, content, no, source_size, target, copies). Content is a hash of the whole row; equal rows are numbered."""
+    sizes = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(df).alias("content"))
+    groups = sizes.groupBy("doc_id", "source", "size", "content").agg(F.count("*").alias("n"))
+    goal = targets(groups.select("source", "size", "n"), most)
+    u = groups.alias("u").join(goal.alias("g"), F.col("u.source").eqNullSafe(F.col("g.source"))).select("u.*", "g.units", "g.source_size", "g.target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
-    u = u.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", (rate - F.floor(rate)).cast("double")).withColumn("words", (F.col("size") * F.col("n")).cast("double"))
-    u = u.withColumn("draw", F.xxhash64("doc_id", "source", "size", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.ceil(F.col("units") / BLOCK_UNITS)))
+    u = u.select(*(c for c in u.columns if c != "n"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("no"))
+    u = u.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", (rate - F.floor(rate)).cast("double")).withColumn("words", F.col("size").cast("double")).withColumn("n", F.lit(1).cast("long"))
+    u = u.withColumn("draw", F.xxhash64("doc_id", "source", "size", "content", "no", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "content", "no", F.lit(seed + 1)), F.ceil(F.col("units") / BLOCK_UNITS)))
     schema = u.schema
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     first = u.groupBy("source", "block").applyInArrow(_flight(0), schema)
     again = first.where(open_).withColumn("block", F.floor(F.col("block") / MERGE_BLOCKS)).groupBy("source", "block").applyInArrow(_flight(1), schema)
     last = again.where(open_).withColumn("block", F.floor(F.col("block") / MERGE_BLOCKS)).groupBy("source", "block").applyInArrow(_flight(2, final=True), schema)
     done = first.where(~open_).unionByName(again.where(~open_)).unionByName(last)
-    return done.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.round("p")).cast("int").alias("copies"))
+    return done.select("doc_id", "source", "size", "content", "no", "source_size", "target", (F.col("whole") + F.round("p")).cast("int").alias("copies"))
 
 
 def mixed_rows(df: DataFrame, **how) -> DataFrame:
     """One row per document: (doc_id, size, source_size, target, taken)."""
-    m = mix(df, **how).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    m = mix(df, **how)
     return m.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents, each as often as it is taken; those taken 0 times go."""
-    m = mix(df, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("copies").alias("m_copies"))
-    d = df.withColumn("m_words", word_count(F.col(text_col)))
-    on = d[id_col].cast("long").eqNullSafe(m["m_id"]) & d[source_col].cast("string").eqNullSafe(m["m_source"]) & (d["m_words"] == m["m_size"])
-    return d.join(m, on).withColumn("m_no", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    """The documents, each as often as it is taken; those taken 0 times go. Of rows alike in all columns the copies are summed and dealt out again."""
+    m = mix(df, id_col, text_col, source_col, **how).groupBy("doc_id", "source", "size", "content").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies"))
+    m = checkpoint(m.where("copies > 0").select("content", F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "n", "copies"))
+    d = packed(df, content=row_hash(df), id=F.col(id_col).cast("long"), size=word_count(F.col(text_col)))
+    alike = m.where("n > 1")
+
+    def taken(rows: DataFrame, which: DataFrame) -> DataFrame:
+        return rows.join(which, "content").where(F.col("id").eqNullSafe(F.col("m_id")) & (F.col("size") == F.col("m_size")))
+
+    out = taken(d, m.where("n = 1")).select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    if not alike.isEmpty():
+        rows = taken(d, alike).withColumn("no", F.row_number().over(W.partitionBy("content").orderBy("size")))
+        mine = F.floor(F.col("copies") / F.col("n")).cast("int") + (F.col("no") <= F.col("copies") % F.col("n")).cast("int")
+        out = out.unionByName(rows.withColumn("mine", mine).where("mine > 0").select("row", F.explode(F.sequence(F.lit(1), "mine"))))
+    return unpacked(out)

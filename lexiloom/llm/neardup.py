@@ -34,6 +34,7 @@ from pyspark.sql.types import DoubleType
 
 from lexiloom.llm import kernels as K
 from lexiloom.llm.graph import components
+from lexiloom.llm.rows import packed, row_hash, unpacked
 from lexiloom.llm.storage import checkpoint
 
 ROWS, BANDS = 5, 48
@@ -152,7 +153,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int, sure: float) ->
     """(a, b, est) of the pairs that may be links."""
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    both = pairs.join(x, "a").join(y, "b").where(_alike_sizes("na", "nb", percent))
+    both = pairs.join(y, "b").join(x, "a").where(_alike_sizes("na", "nb", percent))
     return both.select("a", "b", _estimate("ra", "rb", "na", "nb").alias("est")).where(F.col("est") >= sure)
 
 
@@ -173,7 +174,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep[k : k + 64] = [linked(s, t, percent) for s, t in zip(*sets)]
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(K.calm(run), "a long, b long")
+    # the pivot's text comes last: a hot pivot's rows then carry texts, and Spark splits them by their size
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(K.calm(run), "a long, b long")
 
 
 def _class(size: int) -> int:
@@ -292,17 +294,14 @@ def judged(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, su
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each component, that of the least id."""
+    """One document of each component, that of the least id; all columns pass through."""
     rid, tie = _row_key(id_col, text_col)
     keys = checkpoint(judged(df, id_col, text_col, **how).groupBy("rid", "tie").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"))
-
-    def only(rows: DataFrame, which: DataFrame, join: str) -> DataFrame:
-        return rows.join(which.select(F.col("rid").alias("k_rid"), F.col("tie").alias("k_tie")), (rid == F.col("k_rid")) & (tie == F.col("k_tie")), join)
-
-    several = keys.where("stay > 0")
+    docs = packed(df, rid=rid, tie=tie, content=row_hash(df))
+    left = docs.join(keys, ["rid", "tie"], "left_anti").select("row")
+    several = keys.where("stay > 0").select("rid", "tie")
     if several.isEmpty():
-        return only(df, keys, "left_anti")
-    copies = only(df, several, "left_semi")  # rows of equal id and text
-    place = F.row_number().over(Window.partitionBy(rid, tie).orderBy(F.xxhash64(*df.columns)))
-    one = copies.withColumn("l_place", place).where("l_place = 1").drop("l_place")
-    return only(df, keys, "left_anti").unionByName(one)
+        return unpacked(left)
+    copies = docs.join(several, ["rid", "tie"])  # rows of equal id and text
+    place = F.row_number().over(Window.partitionBy("rid", "tie").orderBy("content"))
+    return unpacked(left.unionByName(copies.withColumn("place", place).where("place = 1").select("row")))

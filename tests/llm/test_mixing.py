@@ -85,11 +85,35 @@ def test_blocks_of_a_hot_source(docs, monkeypatch):
     check(rows, [(i, t, s) for i, (t, s) in enumerate(zip(texts, sources))], lambda s: 80)
 
 
-def test_repeated_rows_are_taken_alike(docs):
-    texts, ids = ["a b", "a b", "a b", "c"] * 5, [1, 1, 2, 3] * 5
-    rows = mixing.mixed_rows(docs(texts, ["s", "s", "s", "t"] * 5, ids)).collect()
-    assert len(rows) == 20
-    assert all(len({r.taken for r in rows if r.doc_id == i}) == 1 for i in (1, 2, 3))
+def test_rows_of_one_id_or_none_are_documents_of_their_own(docs, monkeypatch):
+    """Null ids, repeated ids and equal rows meet their targets as others do: no group of rows is taken as one."""
+    monkeypatch.setattr(mixing, "BLOCK_UNITS", 40)
+    for ids in ([None] * 100, [7] * 100, [None, 7, 8, 8] * 25):
+        texts = ["a b c"] * 50 + ["d e f " * (1 + k % 3) for k in range(50)]
+        d = docs(texts, ["s"] * 50 + ["t"] * 50, ids)
+        rows = mixing.mixed_rows(d).collect()
+        assert len(rows) == 100 and all(0 <= r.taken <= 3 * r.size for r in rows)
+        taken, target = defaultdict(int), {}
+        for r in rows:
+            taken[r.source_size] += r.taken
+            target[r.source_size] = r.target
+        assert len(target) == 2 and all(abs(taken[s] - target[s]) <= 18 for s in target)
+        words = sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(d).collect())
+        assert words == sum(taken.values())
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["m_words", "M_no", "m_copies", "copies", "n", "content", "row", "size", "id", "no", "mine", "l_gone", "gone_rid", "rid", "tie", "place", "k_rid", "stay", "rows", "block", "s_key", "s_tie", "s_null", "s_id", "n_words", "n_removed", "kept_text", "spans", "r_text"]
+    data = [(i, f"some text w{i} x{i} y{i} z{i}", "en", f"s{i % 3}", *(k * 100 + i for k in range(len(names)))) for i in range(30)]
+    data += [data[3], data[3]]
+    d = spark.createDataFrame(data, ["doc_id", "text", "lang", "source", *names])
+    from lexiloom.llm import language, neardup, substrings
+
+    for stage in (language.kept_documents, neardup.deduplicated, substrings.cleaned, mixing.mixed_documents):
+        got = stage(d)
+        assert got.columns == d.columns
+        rows = [tuple(r) for r in got.collect()]
+        assert rows and set(rows) <= set(data)
 
 
 def test_documents_are_repeated_as_taken(docs):

@@ -8,6 +8,7 @@ import pyarrow as pa
 from lexiloom.llm import kernels as K
 from lexiloom.llm import neardup, queries
 from lexiloom.llm.graph import components
+from tests.llm.test_substrings import thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,6 +116,12 @@ def test_against_brute_force(docs):
     assert got(neardup.near_duplicates(docs(t, ids=ids).repartition(3))) == brute(list(zip(ids, t)))
 
 
+def test_regular_words_are_not_linked(docs):
+    t = [w for n in (256, 512, 1024, 2048) for w in thue_morse(n)]
+    t += [f"{w} z" for w in thue_morse(1024)]
+    assert got(neardup.near_duplicates(docs(t))) == brute(list(enumerate(t)))
+
+
 def test_chains_are_followed_through_buckets(docs):
     rng = random.Random(6)
     w = [f"v{k}" for k in range(60)]
