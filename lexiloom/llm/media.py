@@ -5,7 +5,8 @@
 as unsigned 8-bit PCM, so that any text can be kept as a media column.
 
 Defined results: a null or empty blob, a blob that is no ISO media file or one whose boxes
-overrun it gives a row with null features and `error` set; nothing is raised. Empty
+overrun it, nest too deeply, or hold tables that contradict each other gives a row with null features and `error` set; nothing is raised.
+Features are those of the first track, and in `streams` of all; samples of fragments (moof) follow those of the movie box. Empty
 tables give empty results, repeated rows repeated results, extra columns are not read.
 """
 
@@ -25,6 +26,8 @@ from lexiloom.llm import kernels as K
 
 #: Bytes of a stored frame, frames of a chunk, and frames from one sync sample to the next.
 FRAME, CHUNK_FRAMES, SYNC_EVERY, RATE = 576, 8, 16, 8000
+#: Boxes within boxes, at most.
+DEEPEST = 32
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 
 
@@ -37,10 +40,13 @@ def full(kind: bytes, *body: bytes, version: int = 0, flags: int = 0) -> bytes:
     return box(kind, struct.pack(">I", version << 24 | flags), *body)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, containers before their contents."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, box start, body start, body end) of every box, containers before their contents."""
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
@@ -54,10 +60,12 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} overruns its parent")
         here = (*path, kind)
-        yield here, start + head, start + size
+        yield here, start, start + head, start + size
+        open_.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, here)
-        start += size
+            if len(here) > DEEPEST:
+                raise ValueError(f"boxes nest more than {DEEPEST} deep")
+            open_.append((start + head, start + size, here))
 
 
 @dataclass
@@ -71,16 +79,35 @@ class Track:
     per_chunk: list[tuple[int, int]] = field(default_factory=list)
     times: list[tuple[int, int]] = field(default_factory=list)
     sync: list[int] | None = None
+    number: int = 0
+    #: (duration, size, flags) of a fragment's sample that says nothing of its own, and (offset, size, keyframe) of all fragments' samples.
+    defaults: tuple[int, int, int] = (0, 0, 0)
+    later: list[tuple[int, int, bool]] = field(default_factory=list)
+    later_duration: int = 0
 
     @property
-    def count(self) -> int:
+    def in_tables(self) -> int:
         return self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)
 
+    @property
+    def count(self) -> int:
+        return self.in_tables + len(self.later)
+
+    @property
+    def whole_duration(self) -> int:
+        return self.duration + self.later_duration
+
     def ranges(self) -> list[tuple[int, int]]:
+        """(offset, size) of every sample."""
+        return self.table_ranges() + [(a, n) for a, n, _ in self.later]
+
+    def table_ranges(self) -> list[tuple[int, int]]:
         """(offset, size) of every sample, from the chunk, sample-to-chunk and size tables."""
-        out, n, total = [], 0, self.count
+        out, n, total = [], 0, self.in_tables
         fixed = self.sizes[0] if isinstance(self.sizes, tuple) else None
         for k, (first, per) in enumerate(self.per_chunk):
+            if n >= total:
+                break
             last = self.per_chunk[k + 1][0] if k + 1 < len(self.per_chunk) else len(self.chunks) + 1
             for at in self.chunks[first - 1 : last - 1]:
                 for _ in range(min(per, total - n)):
@@ -91,8 +118,9 @@ class Track:
         return out
 
     def keyframes(self) -> list[tuple[int, int]]:
-        every = self.ranges()
-        return every if self.sync is None else [every[i - 1] for i in self.sync if 0 < i <= len(every)]
+        every = self.table_ranges()
+        found = every if self.sync is None else [every[i - 1] for i in self.sync if 0 < i <= len(every)]
+        return found + [(a, n) for a, n, key in self.later if key]
 
 
 def _table(data: bytes, at: int, end: int, what: str) -> list[tuple[int, ...]]:
@@ -102,18 +130,98 @@ def _table(data: bytes, at: int, end: int, what: str) -> list[tuple[int, ...]]:
     return list(struct.iter_unpack(">" + what, data[at + 4 : at + 4 + n * struct.calcsize(">" + what)]))
 
 
+def _compact_sizes(data: bytes, at: int, end: int) -> list[int]:
+    """The sizes of an stz2 table, of 4, 8 or 16 bits each."""
+    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if bits not in (4, 8, 16) or at + 12 + (n * bits + 7) // 8 > end:
+        raise ValueError("a table of compact sizes is cut off")
+    body = data[at + 12 : at + 12 + (n * bits + 7) // 8]
+    if bits == 4:
+        return [x for byte in body for x in (byte >> 4, byte & 15)][:n]
+    return [x for (x,) in struct.iter_unpack(">B" if bits == 8 else ">H", body)]
+
+
+def _run(data: bytes, at: int, end: int, base: int, defaults: tuple[int, int, int]) -> tuple[list[tuple[int, int, bool]], int, int]:
+    """A track run: its samples, their duration, and where it ends; base is where it begins, or what its own offset counts from."""
+    flags, n = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    fields = [bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800)]
+    if flags & 1:
+        base += struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    if at + 4 * sum(fields) * n > end or n > len(data):
+        raise ValueError("a track run is cut off")
+    out, total = [], 0
+    for k in range(n):
+        found = list(defaults)
+        if k == 0 and first is not None:
+            found[2] = first
+        for i, there in enumerate(fields):
+            if there:
+                if i < 3:
+                    (found[i],) = struct.unpack_from(">I", data, at)
+                at += 4
+        out.append((base, found[1], not found[2] & 0x10000))
+        base += found[1]
+        total += found[0]
+    return out, total, base
+
+
 def tracks(data: bytes) -> list[Track]:
     """The tracks of a file; ValueError if it is no ISO media file."""
     found: list[Track] = []
     brand = False
+    part = moof = run_at = 0
+    here: Track | None = None  # of the fragment
+    defaults = (0, 0, 0)
+    own_base = False
     try:
-        for path, at, end in walk(data):
+        for path, start, at, end in walk(data):
             kind = path[-1]
             brand |= path == (b"ftyp",)
             if path == (b"moov", b"trak"):
                 found.append(Track())
+            elif path == (b"moof",):
+                moof = run_at = start
+            elif path == (b"moov", b"mvex", b"trex"):
+                number, _, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+                for t in found:
+                    if t.number == number:
+                        t.defaults = (duration, size, flags)
+            elif path == (b"moof", b"traf", b"tfhd"):
+                flags, number = struct.unpack_from(">II", data, at)
+                part, here = at + 8, next((t for t in found if t.number == number), None)
+                own = list(here.defaults if here else (0, 0, 0))
+                own_base = bool(flags & 1)
+                if own_base:
+                    (run_at,) = struct.unpack_from(">Q", data, part)
+                    part += 8
+                elif flags & 0x20000:
+                    run_at = moof
+                if flags & 2:
+                    part += 4
+                for i, bit in enumerate((8, 16, 32)):
+                    if flags & bit:
+                        (own[i],) = struct.unpack_from(">I", data, part)
+                        part += 4
+                defaults, own_base = (own[0], own[1], own[2]), own_base or bool(flags & 0x20000)
+                base = run_at
+            elif path == (b"moof", b"traf", b"trun"):
+                if here is None:
+                    raise ValueError("a fragment of no track")
+                relative = struct.unpack_from(">I", data, at)[0] & 1
+                samples, duration, run_at = _run(data, at, end, (base if own_base else moof) if relative else run_at, defaults)
+                here.later += samples
+                here.later_duration += duration
             elif path[:2] != (b"moov", b"trak"):
                 continue
+            elif kind == b"tkhd":
+                (found[-1].number,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
             elif kind == b"mdhd":
                 wide = data[at] == 1
                 found[-1].timescale, found[-1].duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
@@ -128,18 +236,20 @@ def tracks(data: bytes) -> list[Track]:
             elif kind == b"stsz":
                 (size,) = struct.unpack_from(">I", data, at + 4)
                 found[-1].sizes = (size, struct.unpack_from(">I", data, at + 8)[0]) if size else [x for (x,) in _table(data, at + 8, end, "I")]
+            elif kind == b"stz2":
+                found[-1].sizes = _compact_sizes(data, at, end)
             elif kind == b"stco":
                 found[-1].chunks = [x for (x,) in _table(data, at + 4, end, "I")]
             elif kind == b"co64":
                 found[-1].chunks = [x for (x,) in _table(data, at + 4, end, "Q")]
             elif kind == b"stss":
                 found[-1].sync = [x for (x,) in _table(data, at + 4, end, "I")]
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise ValueError(f"a box is cut off: {e}") from e
     if not brand or not found:
         raise ValueError("no ftyp box or no track")
     for t in found:
-        if t.count > len(data) or any(a + n > len(data) for a, n in t.ranges()):
+        if t.count > len(data) or any(not 0 <= a <= a + n <= len(data) for a, n in t.ranges()):
             raise ValueError("a sample lies outside the file")
     return found
 
@@ -190,24 +300,30 @@ def write_pcm(payload: bytes) -> bytes:
     return b"".join([ftyp, moov(head), box(b"mdat", payload)])
 
 
+def _features(t: Track) -> dict:
+    return {
+        "codec": t.codec, "handler": t.kind, "timescale": t.timescale, "duration_s": t.whole_duration / t.timescale if t.timescale else None,
+        "samples": t.count, "keyframes": [{"offset": a, "bytes": n} for a, n in t.keyframes()],
+    }
+
+
 def describe(data: bytes | None) -> dict:
-    """Codec, seconds, samples and keyframe byte ranges of the first track."""
+    """Codec, seconds, samples and keyframe byte ranges of the first track, and of all in `streams`."""
     if not data:
         return {"error": "no data"}
     try:
-        found = tracks(data)
-    except ValueError as e:
+        streams = [_features(t) for t in tracks(data)]
+    except (ValueError, OverflowError) as e:
         return {"error": str(e)}
-    t = found[0]
-    return {
-        "codec": t.codec, "handler": t.kind, "tracks": len(found), "timescale": t.timescale,
-        "duration_s": t.duration / t.timescale if t.timescale else None,
-        "samples": t.count, "keyframes": [{"offset": a, "bytes": n} for a, n in t.keyframes()], "error": None,
-    }
+    return streams[0] | {"tracks": len(streams), "streams": streams, "error": None}
 
 
-FEATURES = "codec string, handler string, tracks int, timescale long, duration_s double, samples long, keyframes array<struct<offset:long,bytes:long>>, error string"
-_ARROW = pa.schema([("id", pa.int64()), ("codec", pa.string()), ("handler", pa.string()), ("tracks", pa.int32()), ("timescale", pa.int64()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))), ("error", pa.string())])
+_KEYS = "keyframes array<struct<offset:long,bytes:long>>"
+_STREAM = "codec:string,handler:string,timescale:long,duration_s:double,samples:long," + _KEYS.replace(" ", ":", 1)
+FEATURES = f"codec string, handler string, tracks int, timescale long, duration_s double, samples long, {_KEYS}, streams array<struct<{_STREAM}>>, error string"
+_KEYS_ARROW = pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))
+_STREAM_ARROW = pa.list_(pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", _KEYS_ARROW)]))
+_ARROW = pa.schema([("id", pa.int64()), ("codec", pa.string()), ("handler", pa.string()), ("tracks", pa.int32()), ("timescale", pa.int64()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", _KEYS_ARROW), ("streams", _STREAM_ARROW), ("error", pa.string())])
 
 
 def media_features(df: DataFrame, id_col: str, blob_col: str) -> DataFrame:

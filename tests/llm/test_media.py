@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -51,6 +52,56 @@ def test_tables_with_varying_sizes_and_wide_offsets():
     assert [(k["offset"], k["bytes"]) for k in found["keyframes"]] == [(10, 5), (30, 9)]
 
 
+def fragmented(default_size=4):
+    """Two tracks; a movie fragment has three samples of the second, the first and last of them keyframes."""
+    def trak(number, codec, handler):
+        tkhd = media.full(b"tkhd", struct.pack(">III", 0, 0, number), bytes(68))
+        mdhd = media.full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0), bytes(4))
+        stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(20))), media.full(b"stz2", struct.pack(">II", 4, 0)))
+        return media.box(b"trak", tkhd, media.box(b"mdia", mdhd, media.full(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", stbl)))
+
+    trex = media.full(b"trex", struct.pack(">5I", 2, 1, 40, default_size, 0x10000))
+    moov = media.box(b"moov", trak(1, b"mp4a", b"soun"), trak(2, b"avc1", b"vide"), media.box(b"mvex", trex))
+
+    def moof(at):
+        tfhd = media.full(b"tfhd", struct.pack(">I", 2), flags=0x20000)
+        trun = media.full(b"trun", struct.pack(">IiIII", 2, at, 0, 5, 6), flags=0x1 | 0x4 | 0x200)
+        more = media.full(b"trun", struct.pack(">III", 1, 40, 0), flags=0x100 | 0x400)
+        return media.box(b"moof", media.full(b"mfhd", bytes(4)), media.box(b"traf", tfhd, trun, more))
+
+    head = media.box(b"ftyp", b"isom", bytes(4)) + moov
+    return head + moof(len(moof(0)) + 8) + media.box(b"mdat", b"AAAAABBBBBBCCCC"), len(head) + len(moof(0)) + 8
+
+
+def test_fragments_and_all_tracks():
+    blob, at = fragmented()
+    found = media.describe(blob)
+    assert (found["error"], found["tracks"], found["codec"], found["samples"]) == (None, 2, "mp4a", 0)
+    video = found["streams"][1]
+    assert (video["codec"], video["handler"], video["samples"], video["duration_s"]) == ("avc1", "vide", 3, 0.12)
+    assert [(k["offset"], k["bytes"]) for k in video["keyframes"]] == [(at, 5), (at + 11, 4)]
+    assert media.read_samples(blob, media.tracks(blob)[1]) == b"AAAAABBBBBBCCCC"
+    assert media._compact_sizes(bytes(7) + b"\x04" + struct.pack(">I", 3) + b"\x12\x30", 0, 14) == [1, 2, 3]
+
+
+def test_crafted_blobs_raise_nothing():
+    empty = media.box(b"ftyp", b"isom") + media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd"))))
+    assert media.describe(empty)["error"]
+    deep = b""
+    for _ in range(2000):
+        deep = media.box(b"moov", deep)
+    assert "deep" in media.describe(media.box(b"ftyp", b"isom") + deep)["error"]
+    rng = random.Random(3)
+    for good in (media.write_pcm(b"q" * 5760), fragmented()[0]):
+        errors = 0
+        for _ in range(3000):
+            b = bytearray(good)
+            for _ in range(rng.randint(1, 6)):
+                b[rng.randrange(min(len(b), 900))] = rng.choice([0, 1, 2, 127, 255, rng.randrange(256)])
+            errors += media.describe(bytes(b[: rng.choice([len(b), rng.randrange(len(b))])]))["error"] is not None
+        assert errors > 300
+
+
 def test_broken_blobs_give_an_error_and_no_row_is_lost(spark):
     good = media.write_pcm(b"q" * 576)
     blobs = [None, b"", b"nonsense", good[:-1], good[:300], good, bytes(100), media.box(b"ftyp", b"isom")]
