@@ -163,8 +163,14 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     size = F.length("text")
     few = docs.where(size <= long_chars).mapInArrow(K.calm(short), schema)
-    cuts = docs.where(size > long_chars).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.col("text"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("k"))
-    parts = cuts.select("doc_id", "row", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, row, text in zip(*(c.to_pylist() for c in b.columns)):
+                for k, at in enumerate(range(0, len(text), chunk)):  # places of a string are known, so that a cut costs its own length
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([text[at : at + chunk + overlap]])], names=["doc_id", "row", "k", "part"])
+
+    parts = docs.where(size > long_chars).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text").mapInArrow(K.calm(cut), "doc_id long, row long, k int, part string")
     spread = parts.repartition("row", "k").mapInArrow(K.calm(spans), "doc_id long, row long, k int, part string, spans binary")
     return few.unionByName(spread.groupBy("row").applyInArrow(join, schema))
 

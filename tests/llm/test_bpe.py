@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -39,6 +40,18 @@ def test_encoding_is_that_of_the_library(docs):
         assert got == expected(TEXTS)
 
 
+def test_a_very_long_text_is_cut_in_linear_time(docs):
+    text = ("lorem ipsum dolor " * 300 + "\n") * 600
+    took = []
+    for n in (1, 4):
+        d = docs([text * n])
+        start = time.perf_counter()
+        (r,) = bpe.encode(d, PATH, P.PATTERN).collect()
+        took.append(time.perf_counter() - start)
+        assert r.decoded_sha256 == hashlib.sha256((text * n).encode()).hexdigest()
+    assert took[1] < 8 * took[0] + 5
+
+
 def test_round_trip(docs):
     ids = bpe.encode(docs(TEXTS), PATH, P.PATTERN, keep_ids=True)
     back = {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode(ids, PATH, P.PATTERN).collect()}
