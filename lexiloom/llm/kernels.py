@@ -252,18 +252,6 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U64).reshape(-1), dtype=U64)
 
 
-def gram_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes of all `width`-grams of a byte run (given by byte_values), by start."""
-    n = len(values)
-    if n < width:
-        return np.zeros(0, U64)
-    up, down = powers(BYTE_BASE, n)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(values * up, out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: n - width + 1])
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all windows of `width` values, by van Herk's two scans over blocks."""
     n = len(x) - width + 1

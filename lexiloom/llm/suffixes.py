@@ -1,21 +1,23 @@
 """Suffix-array dedup by bucket-pointer refinement.
 
 Every `width`-byte string that starts at more than one place of the table goes, at all its places.
-Only suffixes of strings that might repeat are worth sorting, so the table of suffixes is sparse: in
-each `width`-byte window the q-gram of the smallest hash is the window's anchor (equal windows have
-equal anchors at equal offsets), and a maximal run of windows with one anchor is its context.
-
-1. Initial q-gram buckets: anchors are bucketed by their q-gram. An anchor alone in its bucket drops out
-   with all its windows.
-2. Refinement by later offsets: within a bucket, contexts (all bytes that the anchor's windows reach)
-   are compared. Contexts that repeat are settled as a whole; a bucket in which all do is done.
-3. In the other buckets, single windows are compared by the bucket identifiers of their later
-   offsets: q-gram buckets at 0 and q give the buckets of 2q bytes, and these, at 0 and width - 2q,
-   those of the window; each level reuses the one before. Of a repeated context one copy takes part.
-
-Sorting on identifiers takes place in reducers that own a range of buckets; a block of documents sends an
+A bucket identifier names all places that begin with the same bytes: at first those of 8-grams, which are the bytes themselves. A
+level of refinement takes the buckets of n bytes to those of 2n by the identifiers at the places and at n bytes later, and is
+reused by the next level: 8, 16, 32, 64 bytes (the q-grams), 128, and `width`, of two overlapping halves.
+
+Only suffixes of strings that might repeat are worth sorting, so the table of suffixes is sparse: in each `width`-byte
+window the place of the least q-gram identifier is the window's anchor (equal windows have equal anchors at equal offsets), and a
+maximal run of windows with one anchor is its context.
+
+1. Initial buckets: anchors are bucketed by their q-gram. An anchor alone in its bucket drops out with all its windows.
+2. Within a bucket, contexts are sorted by the identifiers of their first and last windows (which overlap or meet, so that
+   they name all bytes of the context, with its length). Contexts that repeat are settled as a whole; a bucket in which all do is done.
+3. In the other buckets, single windows are sorted by their own identifiers. Of a repeated context one copy takes part.
+
+Sorting takes place in reducers that own a range of identifiers; a block of documents sends an
 identifier once, however often it has it, so that no hot passage gathers in one task.
-Identifiers are 64-bit hashes: about n^2 / 2^65 of n strings are taken for equal wrongly.
+Identifiers of more than 8 bytes are 64-bit names, mixed at every level (so no pattern of bytes collides by construction), instead of
+ranks, which would have to be sent back to all places at each level: about n^2 / 2^65 of n strings are taken for equal wrongly.
 
 Defined results: a null text is empty; texts shorter than `width` bytes are kept; matches never cross
 texts; equal rows (repeated rows, too) lose all that is long enough; null ids are kept; empty tables
@@ -39,6 +41,7 @@ WIDTH = 200
 _PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of a text handled at a time; places in them fit the 24 bits of _PLACE.
 _SEGMENT = 1 << 21
+_FIRST_PART, _BOTH_PARTS = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 SETTLED, ALONE, WITNESS = 0, 1, 2
 
 
@@ -66,12 +69,54 @@ def _valid(a: int, b: int, ends: np.ndarray, width: int) -> np.ndarray:
     return ok
 
 
+def gram_size(width: int) -> int:
+    """Bytes of the initial buckets: the greatest power of two, up to a third of the width."""
+    return 1 << max(0, (width // 3).bit_length() - 1)
+
+
+def refined(ids: np.ndarray, at: np.ndarray | slice, later: np.ndarray | slice) -> np.ndarray:
+    """The identifiers of longer strings, by those of their first bytes and of their last ones."""
+    x = ids[at] * _FIRST_PART
+    x += ids[later]
+    x ^= x >> np.uint64(32)
+    x *= _BOTH_PARTS
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def gram_buckets(b: np.ndarray, q: int) -> np.ndarray:
+    """The identifiers of all q-grams of a byte run, by start: levels of refinement, each from the one before."""
+    size = min(8, 1 << q.bit_length() - 1)
+    ids = K.loads(b)[: max(0, len(b) - size + 1)]
+    ids = ids & np.uint64((1 << 8 * size) - 1) if size < 8 else ids.copy()
+    if size == q:
+        return refined(ids, slice(None), slice(None))  # mixed, as the least one is an anchor
+    while size < q:
+        step = min(size, q - size)  # the last two may overlap
+        n = max(0, len(ids) - step)
+        ids = refined(ids, slice(0, n), slice(step, step + n))
+        size += step
+    return ids
+
+
+def window_ids(ids: np.ndarray, q: int, at: np.ndarray, width: int) -> np.ndarray:
+    """The identifiers of the `width`-byte windows at some places, from those of their q-grams: the buckets of the two halves, which are refined first."""
+    if width == q:
+        return ids[at]
+    half = q
+    while 2 * half < width:
+        half *= 2
+    both = np.concatenate([at, at + width - half])
+    found = window_ids(ids, q, both, half)
+    n = len(at)
+    return refined(found, slice(0, n), slice(n, 2 * n))
+
+
 def contexts(raw: np.ndarray, off: np.ndarray, width: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, context, first window, last window) of every anchor; the windows are named by their places."""
     parts = []
     for a, b, ends in _segments(off, width):
-        values = K.byte_values(raw[a:b])
-        h = K.gram_hashes(values, q)
+        h = gram_buckets(raw[a:b], q)
         if len(h) < width - q + 1:
             continue
         least = K.sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), width - q + 1)
@@ -81,7 +126,9 @@ def contexts(raw: np.ndarray, off: np.ndarray, width: int, q: int) -> tuple[np.n
         anchor = (least[starts] & _PLACE).astype(np.int64)
         new = np.flatnonzero(np.diff(anchor, prepend=-1))
         lo, hi = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-        ctx = K.rolling(values, K.BYTE_BASE, lo, hi + width)
+        n = len(lo)
+        ends_ = window_ids(h, q, np.concatenate([lo, hi]), width)
+        ctx = K.mix(refined(ends_, slice(0, n), slice(n, 2 * n)) + (hi - lo).astype(np.uint64))
         parts.append((h[anchor[new]], ctx, lo + a, hi + a))
     if not parts:
         z = np.zeros(0, np.int64)
@@ -90,9 +137,8 @@ def contexts(raw: np.ndarray, off: np.ndarray, width: int, q: int) -> tuple[np.n
 
 
 def window_buckets(raw: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, bucket) of the windows lo..hi, by refinement of q-gram buckets."""
+    """(place, bucket) of the windows lo..hi."""
     places, found = [], []
-    c = np.uint64(K.WORD_BASE)
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], hi[order]
     for a, b, _ in _segments(off, width):
@@ -103,10 +149,8 @@ def window_buckets(raw: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndar
         np.add.at(mark, lo[i:j] - a, 1)
         np.add.at(mark, np.minimum(hi[i:j] - a + 1, len(mark) - 1), -1)
         at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        h = K.gram_hashes(K.byte_values(raw[a:b]), q)
-        two = K.mix(h[: len(h) - q] * c + h[q:])
         places.append(at + a)
-        found.append(K.mix(two[at] * c + two[at + width - 2 * q]))
+        found.append(window_ids(gram_buckets(raw[a:b], q), q, at, width))
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p, w = np.concatenate(places), np.concatenate(found)
@@ -151,10 +195,10 @@ def _unpack_ints(data: bytes, columns: int) -> list[np.ndarray]:
     return list(np.cumsum(np.frombuffer(data, np.int64).reshape(columns, -1), axis=1))
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = X.BLOCK_BYTES, *, keep_bytes: bool = True) -> DataFrame:
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int | None = None, *, keep_bytes: bool = True) -> DataFrame:
     """The documents' columns, prefixed r_, and n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, if keep_bytes), spans (removed byte intervals)."""
     cols = df.columns
-    q = width // 3 + 1
+    q = gram_size(width)
     work = df.select(*(F.col(f"`{c}`").alias(f"r_{c}") for c in cols), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("s_key"), F.xxhash64(text_col).alias("s_tie"))
     text = f"r_{text_col}"  # null counts as empty
     blocks = X.in_blocks(work, text, None, block_bytes)
