@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob as globs
 import os
+import re
 from collections.abc import Sequence
 from pathlib import Path
 from typing import Any, Literal
@@ -11,17 +12,17 @@ from typing import Any, Literal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions.tables import END_OF_TEXT, SPECIAL_TOKENS
+from lexiloom.functions.tables import DEFAULT_SIZE, END_OF_TEXT, SPECIAL_TOKENS
 from lexiloom.functions.text import has_text, pretokenize
 from lexiloom.operators import codec, training, vocab, wordfreq
 from lexiloom.operators.spm import SentencePieceModel
 from lexiloom.operators.training import Model
 from lexiloom.session import ship
 from lexiloom.sources import sinks
-from lexiloom.sources.readers import numbered, of_file, read_corpus
+from lexiloom.sources.readers import BATCH_ROWS, dataset, numbered, of_file, read_corpus
+from lexiloom.sources.scratch import kept, scratch
 
 SEMANTICS = ("sequence", "word", "repeat")
-DEFAULT_SIZE = 16_000
 
 
 def session() -> SparkSession:
@@ -53,7 +54,7 @@ class Tokenizer:
             whole = docs.where(has_text("text")).groupBy(F.col("text").alias("word")).agg(F.count("*").alias("freq"))
             self.model = training.train_words(whole, self._start(whole, "word", special_tokens), vocab_size)
         elif semantics == "word":
-            counts = wordfreq.at_least(wordfreq.word_counts(docs), min_frequency)
+            counts = kept(wordfreq.at_least(wordfreq.word_counts(docs), min_frequency))
             self.model = training.train_words(counts, self._start(counts, "word", special_tokens), vocab_size)
         else:
             seen = wordfreq.at_least(wordfreq.first_seen(docs, order), min_frequency)
@@ -95,29 +96,38 @@ class Tokenizer:
 
 
 class ChunkedTrainer:
-    """Word counts from many sources, file by file, with checkpoints; `finalize` learns the merges."""
+    """Word counts from many sources, file by file, with checkpoints; `finalize` learns the merges.
 
-    def __init__(self, spark: SparkSession | None = None) -> None:
+    What a source adds is counted once and written to a folder of its own under `folder` (a new one in the shared folder, if none is given): later steps read those
+    counts, not the sources, and their plan does not grow with the number of sources.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None) -> None:
         self.spark = spark or session()
-        self.counts: DataFrame | None = None
+        self.folder = folder or scratch(self.spark)
+        self.parts = 0
         self.chars = 0
         self.files: set[str] = set()
         self.tokenizer = Tokenizer()
 
-    def _grow(self, docs: DataFrame) -> None:
-        new = wordfreq.word_counts(docs)
-        self.chars += docs.where(has_text("text")).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-        self.counts = new if self.counts is None else wordfreq.merged(self.counts, new)
+    def _add(self, counts: DataFrame) -> int:
+        """Keeps the counts; returns their number of characters. Chunks lose nothing of a text, so they tell its length."""
+        part = kept(counts.select("word", F.col("freq").cast("long").alias("freq")), f"{self.folder}/part={self.parts}")
+        self.parts += 1
+        return part.agg(F.coalesce(F.sum(F.length("word") * F.col("freq")), F.lit(0)).alias("n")).first().n
 
     def add_text(self, text: str) -> ChunkedTrainer:
-        self._grow(self.spark.createDataFrame([(text,)], "text string"))
+        self.chars += self._add(wordfreq.word_counts(self.spark.createDataFrame([(text,)], "text string")))
         return self
 
     def add_frame(self, data: Any, text_column: str = "text") -> ChunkedTrainer:
-        self._grow(read_corpus(self.spark, data, text_column))
+        self.chars += self._add(wordfreq.word_counts(read_corpus(self.spark, data, text_column)))
         return self
 
-    add_from_dataset = add_frame
+    def add_from_dataset(self, data: Any, text_column: str = "text", batch_size: int = BATCH_ROWS) -> ChunkedTrainer:
+        """A data set that is read in batches, map-style or iterable."""
+        self.chars += self._add(wordfreq.word_counts(dataset(self.spark, data, text_column, None, batch_size)))
+        return self
 
     def add_file(self, path: str | os.PathLike, text_column: str = "text") -> bool:
         """Whether the file was new."""
@@ -127,51 +137,66 @@ class ChunkedTrainer:
         if not os.path.exists(key):
             raise FileNotFoundError(path)
         docs = of_file(self.spark, key, text_column)
-        self._grow(docs)
-        if Path(path).suffix.lower() not in (".parquet", ".csv"):
-            self._grow(self._separators(docs))  # such a file counts as one text, separators included
+        counts = wordfreq.word_counts(docs) if Path(path).suffix.lower() in (".parquet", ".csv") else self._joined(docs)
+        self.chars += self._add(counts)
         self.files.add(key)
         return True
 
-    def _separators(self, docs: DataFrame) -> DataFrame:
-        """The separators between the texts of a joined file. Line ends and slashes at a text's start would join them, and a contraction its head: those texts are rare and keep their own chunks."""
-        n = docs.agg(F.greatest(F.count("*") - 1, F.lit(0)).cast("int").alias("n"))
-        return n.select(F.explode(F.array_repeat(F.lit(END_OF_TEXT), F.col("n"))).alias("text"))
+    def _joined(self, docs: DataFrame) -> DataFrame:
+        """Chunk counts of the texts of one file, joined in their order by the separator <|name|>.
+
+        The name in it is always a chunk of its own, and matching starts anew after it: so the joined text's chunks are the names, and those of
+        each text with the sign before it (unless it is the first) and after it (unless it is the last).
+        """
+        row = F.struct(*(F.col(f"place.{c}").alias(c) for c in ("_file", "row")))
+        edge = docs.agg(F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("n")).first()
+        at = lambda r: F.struct(F.lit(r["_file"]).alias("_file"), F.lit(r["row"]).cast(docs.schema["place"].dataType["row"].dataType).alias("row"))
+        if not edge.n:
+            return wordfreq.word_counts(docs)
+        before, name, after = re.fullmatch(r"(\W+)(\w+)(\W+)", END_OF_TEXT).groups()
+        text = F.concat(F.when(row > at(edge.low), after).otherwise(""), "text", F.when(row < at(edge.high), before).otherwise(""))
+        names = self.spark.createDataFrame([(name, edge.n - 1)], "word string, freq long").where("freq > 0")
+        return wordfreq.merged(wordfreq.word_counts(docs.select(text.alias("text"))), names)
 
     def add_directory(self, pattern: str | os.PathLike, text_column: str = "text") -> int:
         """How many of the files were new."""
         return sum(map(lambda p: self.add_file(p, text_column), sorted(globs.glob(os.fspath(pattern)))))
 
     def save_state(self, path: str) -> None:
-        sinks.save_state(self._table(), self.chars, sorted(self.files), path)
+        sinks.save_state(self.counts, self.chars, sorted(self.files), path)
 
     def load_state(self, path: str, *, once: bool = False) -> ChunkedTrainer:
         """Adds a checkpoint's counts. With `once`, one whose files are all known already is not added again."""
         counts, chars, files = sinks.load_state(self.spark, path)
         if once and files and set(files) <= self.files:
             return self
-        self.counts = counts if self.counts is None else wordfreq.merged(self.counts, counts)
+        self._add(counts)
         self.chars += chars
         self.files |= set(files)
         return self
 
-    def _table(self) -> DataFrame:
-        return self.counts if self.counts is not None else self.spark.createDataFrame([], "word string, freq long")
+    @property
+    def counts(self) -> DataFrame:
+        """(word, freq) of all sources so far."""
+        if not self.parts:
+            return self.spark.createDataFrame([], "word string, freq long")
+        parts = self.spark.read.schema("word string, freq long, part int").parquet(self.folder).where(F.col("part") < self.parts)
+        return parts.groupBy("word").agg(F.sum("freq").alias("freq"))
 
     @property
     def unique_word_count(self) -> int:
-        return self._table().count()
+        return self.counts.count()
 
     @property
     def total_word_occurrences(self) -> int:
-        return wordfreq.totals(self._table()).first().occurrences
+        return wordfreq.totals(self.counts).first().occurrences
 
     @property
     def files_done(self) -> int:
         return len(self.files)
 
     def finalize(self, vocab_size: int, min_frequency: int = 2, special_tokens: Sequence[str] | None = None) -> Tokenizer:
-        counts = wordfreq.at_least(self._table(), min_frequency)
+        counts = kept(wordfreq.at_least(self.counts, min_frequency))
         self.tokenizer.model = training.train_words(counts, self.tokenizer._start(counts, "word", special_tokens), vocab_size)
         return self.tokenizer
 
@@ -186,9 +211,11 @@ def train(source: Any, vocab_size: int | None = None, algorithm: Literal["bpe",
     if algorithm == "sentencepiece":
         if output_dir is None:
             raise ValueError("SentencePiece needs output_dir")
-        return SentencePieceModel().train(read_corpus(spark, source, text_column), vocab_size, os.path.join(output_dir, model_prefix), **how)
+        limit = how.pop("max_samples", None)
+        return SentencePieceModel().train(read_corpus(spark, source, text_column, limit), vocab_size, os.path.join(output_dir, model_prefix), **how)
     if mode == "single":
-        tok = Tokenizer().train(numbered(read_corpus(spark, source, text_column)), vocab_size, special_tokens, **how)
+        limit = how.pop("max_samples", None)
+        tok = Tokenizer().train(numbered(read_corpus(spark, source, text_column, limit)), vocab_size, special_tokens, **how)
     else:
         t = ChunkedTrainer(spark)
         if isinstance(source, (str, os.PathLike)) and os.path.exists(source):

@@ -48,3 +48,5 @@ cls sep mask
 #: Control tokens in the order of their ids.
 SPECIAL_TOKENS: tuple[str, ...] = tuple(f"<|{name}|>" for name in _CONTROL.split())
 END_OF_TEXT, UNKNOWN = "<|endoftext|>", "<|unk|>"
+#: Tokens of a vocabulary, unless a caller says otherwise.
+DEFAULT_SIZE = 16_000

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,12 @@ def merge_passes(ids: list[int], merges: dict[tuple[int, int], int]) -> list[int
 
 
 class ChunkEncoder(dict):
+    """The ids of each chunk as bytes of 32-bit integers."""
+
     def __init__(self, ids: dict[str, int], merges: dict[tuple[int, int], int]) -> None:
         self.ids, self.merges, self.unknown = ids, merges, ids.get(UNKNOWN)
 
-    def __missing__(self, chunk: str) -> list[int]:
+    def __missing__(self, chunk: str) -> bytes:
         whole = self.ids.get(chunk)
         if whole is not None:
             found = [whole]
@@ -52,40 +55,43 @@ class ChunkEncoder(dict):
             if None in start:
                 raise ValueError(f"no id for {chunk[start.index(None)]!r}, and the vocabulary has no {UNKNOWN}")
             found = merge_passes(start, self.merges)
+        packed = np.array(found, np.int32).tobytes()
         if len(self) >= _REMEMBERED:
             self.clear()
-        self[chunk] = found
-        return found
+        self[chunk] = packed
+        return packed
 
 
 def encode(text: Column | str, model: Model, allowed_special: Sequence[str] | None = None) -> Column:
-    """array<int>. Control tokens become their ids (an error if they have none); an empty list of them turns that off."""
+    """array<int>. Control tokens become their ids (an error if they have none); an empty list of them turns that off.
+
+    The JVM sends each text with the lengths of its chunks (negative for control tokens), not the chunks themselves.
+    """
+    text = F.col(text) if isinstance(text, str) else text
     allowed = tuple(SPECIAL_TOKENS if allowed_special is None else allowed_special)
-    parts = F.transform(split_special(text, allowed), lambda s: F.struct(s["special"].alias("special"), F.when(s["special"], F.array(s["segment"])).otherwise(pretokenize(s["segment"])).alias("chunks")))
+    lengths = F.flatten(F.transform(split_special(text, allowed), lambda s: F.when(s["special"], F.array(-F.length(s["segment"]))).otherwise(F.transform(pretokenize(s["segment"]), lambda c: F.length(c)))))
     ids, merges = model.ids, model.merges
     state: dict[str, ChunkEncoder] = {}
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def run(flags: pd.Series, chunks: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:
         enc = state.setdefault("e", ChunkEncoder(ids, merges))
         out = []
-        for special, groups in zip(flags, chunks):
-            if groups is None:
+        for text, size in zip(texts, sizes):
+            if text is None:
                 out.append(None)
                 continue
-            row: list[int] = []
-            for s, group in zip(special, groups):
-                if s:
-                    if group[0] not in ids:
-                        raise ValueError(f"{group[0]!r} is not in the vocabulary")
-                    row.append(ids[group[0]])
-                else:
-                    for c in group:
-                        row += enc[c]
-            out.append(row)
+            size = np.asarray(size, np.int64)
+            ends = np.cumsum(np.abs(size)).tolist()
+            chunks = list(map(text.__getitem__, map(slice, [0, *ends], ends)))
+            if (size < 0).any():
+                for k in np.flatnonzero(size < 0).tolist():
+                    if chunks[k] not in ids:
+                        raise ValueError(f"{chunks[k]!r} is not in the vocabulary")
+            out.append(np.frombuffer(b"".join(map(enc.__getitem__, chunks)), np.int32))
         return pd.Series(out, dtype=object)
 
-    return run(F.transform(parts, lambda p: p["special"]), F.transform(parts, lambda p: p["chunks"]))
+    return run(text, lengths)
 
 
 def decode(ids: Column | str, model: Model) -> Column:
@@ -131,7 +137,7 @@ def register(spark, model: Model, prefix: str = "bpe") -> None:
 
         find = regex.compile(PRETOKEN.removeprefix("(?U)").replace(r"\x{0900}-\x{0DFF}", "ऀ-෿"), regex.V1)
         e = ChunkEncoder(ids, merges)
-        return pd.Series([None if t is None else [i for m in find.finditer(t) for i in e[m.group()]] for t in column], dtype=object)
+        return pd.Series([None if t is None else np.frombuffer(b"".join(e[m.group()] for m in find.finditer(t)), np.int32) for t in column], dtype=object)
 
     @F.pandas_udf(StringType())
     def dec(column: pd.Series) -> pd.Series:

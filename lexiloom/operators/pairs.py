@@ -38,25 +38,34 @@ def word_pairs(counts: DataFrame) -> DataFrame:
 
 
 def sequence_pairs(docs: DataFrame, order: str = "doc_id", text_col: str = "text", separator: str = END_OF_TEXT) -> DataFrame:
-    """(left, right, cnt) of all texts in order, joined by the separator."""
+    """(left, right, cnt) of all texts in order (nulls first, equal ones by their texts), joined by the separator.
+
+    Every text but the last is followed by the separator, and every text but the first follows it: so the seams are the heads and tails of all
+    texts, less the first head and the last tail.
+    """
+    if not separator:
+        raise ValueError("the separator is not empty")
     d = docs.where(has_text(text_col)).select(F.col(order).alias("doc"), F.col(text_col).alias("text"))
     inner = _exploded(d, characters("text"), F.lit(1).cast("long"))
-    ends = d.select("doc", F.substring("text", 1, 1).alias("head"), F.expr("substring(text, -1, 1)").alias("tail"))
-    edge = ends.agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("docs"))
-    one = F.lit(1).cast("long")
-    placed = ends.withColumn("k", F.lit(1)).join(F.broadcast(edge.withColumn("k", F.lit(1))), "k")  # one row of three numbers
-    if separator:
-        after = placed.where("doc < high").select(F.col("tail").alias("left"), F.lit(separator[0]).alias("right"), one.alias("n"))
-        before = placed.where("doc > low").select(F.lit(separator[-1]).alias("left"), F.col("head").alias("right"), one.alias("n"))
-        inside = [inner, after, before]
-        if len(separator) > 1:
-            inside.append(_exploded(edge.where("docs > 1"), F.array(*map(F.lit, separator)), F.col("docs") - 1))
-    else:
-        raise ValueError("the separator is not empty")
-    every = inside[0]
-    for x in inside[1:]:
-        every = every.unionByName(x)
-    return _summed(every)
+    place = F.struct("doc", "text")
+    edge = d.agg(F.substring(F.min(place)["text"], 1, 1).alias("head"), F.expr("substring(max(struct(doc, text)).text, -1, 1)").alias("tail"), F.count("*").alias("docs")).where("docs > 0")
+    first, last = F.lit(separator[0]), F.lit(separator[-1])
+    n = lambda x: F.lit(x).cast("long").alias("n")
+    seams = [
+        d.select(F.expr("substring(text, -1, 1)").alias("left"), first.alias("right"), n(1)), edge.select(F.col("tail").alias("left"), first.alias("right"), n(-1)),
+        d.select(last.alias("left"), F.substring("text", 1, 1).alias("right"), n(1)), edge.select(last.alias("left"), F.col("head").alias("right"), n(-1)),
+    ]
+    if len(separator) > 1:
+        seams.append(_exploded(edge.where("docs > 1"), F.array(*map(F.lit, separator)), F.col("docs") - 1))
+    for x in seams:
+        inner = inner.unionByName(x)
+    return _summed(inner)
+
+
+def pair_words(counts: DataFrame) -> DataFrame:
+    """(left, right, words): in how many distinct words each pair is, which a merge of it would touch (the inverted index)."""
+    each = F.array_distinct(adjacent(characters("word")))
+    return counts.select(F.explode(each).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("words"))
 
 
 def repeat_pairs(seen: DataFrame) -> DataFrame:

@@ -9,16 +9,18 @@ pair, of equals the one of the least ids.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tables import END_OF_TEXT
 from lexiloom.functions.text import characters, has_text, not_blank
 from lexiloom.operators.pairs import adjacent, merge_step, unwrapped, wrapped
+from lexiloom.sources.scratch import kept
 
 #: Distinct words, and characters of a joined corpus, that the kernels take.
 MAX_WORDS, MAX_CHARACTERS = 5_000_000, 200_000_000
@@ -60,42 +62,77 @@ def replaced(ids: list[int], left: int, right: int, new: int) -> list[int]:
 
 
 def learn_words(words: list[tuple[list[int], int]], model: Model, size: int) -> Model:
-    """Pairs inside weighted words, until the vocabulary has `size` tokens or no pair is left; only words that hold the merged pair are touched."""
-    count: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    seqs = [w for w, _ in words]
-    for k, (w, f) in enumerate(words):
-        for p in zip(w, w[1:]):
-            count[p] += f
-            where[p].add(k)
-    heap = [(-c, p) for p, c in count.items() if c > 0]
+    """Pairs inside weighted words, until the vocabulary has `size` tokens or no pair is left."""
+    ids = np.fromiter((i for w, _ in words for i in w), np.int64)
+    return learn_flat(ids, np.array([len(w) for w, _ in words], np.int64), np.array([f for _, f in words], np.int64), model, size)
+
+
+def _grouped(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct codes, the sum of the weights of each, and its places among `codes`."""
+    order = np.argsort(codes, kind="stable")
+    values, first = np.unique(codes[order], return_index=True)
+    return values, np.add.reduceat(weights[order], first) if len(values) else weights[:0], np.split(order, first[1:])
+
+
+def learn_flat(ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, model: Model, size: int) -> Model:
+    """learn_words over all words' ids in one array, linked to their neighbours; an index gives the places of each pair, so that a merge touches
+    those alone, and all of them at once. Some 40 bytes a character of the distinct words."""
+    n = len(ids)
+    left_of, right_of = np.arange(n) - 1, np.arange(n) + 1
+    ends = np.cumsum(sizes)
+    ends = ends[sizes > 0]
+    right_of[ends - 1] = -1
+    left_of[np.concatenate([[0], ends[:-1]])[: len(ends)]] = -1
+    ids, weight = ids.astype(np.int64), np.repeat(freqs, sizes)
+    code = lambda at: (ids[at] << 32) | ids[right_of[at]]
+    start = np.flatnonzero(right_of >= 0)
+    values, counts, groups = _grouped(code(start), weight[start])
+    count = dict(zip(values.tolist(), counts.tolist()))
+    where = {v: [start[g]] for v, g in zip(values.tolist(), groups)}
+    heap = [(-c, v) for v, c in count.items() if c > 0]
     heapq.heapify(heap)
     while len(model.tokens) < size and heap:
         c, pair = heapq.heappop(heap)
         if count.get(pair, 0) != -c:
             continue  # an entry of an earlier count; every change pushed its own
-        new = model.add(*pair)
-        delta: dict[tuple[int, int], int] = defaultdict(int)
-        for k in where.pop(pair):
-            old, f = seqs[k], words[k][1]
-            now = replaced(old, *pair, new)
-            if len(now) == len(old):
-                continue
-            for p in zip(old, old[1:]):
-                delta[p] -= f
-            for p in zip(now, now[1:]):
-                delta[p] += f
-                where[p].add(k)
-            seqs[k] = now
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        new = model.add(left, right)
+        at = np.unique(np.concatenate(where.pop(pair)))
+        at = at[(ids[at] == left) & (right_of[at] >= 0)]
+        at = at[ids[right_of[at]] == right]  # places that still hold the pair
+        if left == right and len(at):  # in a run of hits every other one counts
+            run = np.concatenate([[True], right_of[at[:-1]] != at[1:]])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
+        gone = right_of[at]
+        edges = np.concatenate([left_of[at], at, gone])
+        edges = np.unique(edges[edges >= 0])
+        edges = edges[right_of[edges] >= 0]
+        old, less, _ = _grouped(code(edges), weight[edges])
+        after = right_of[gone]
+        right_of[at] = after
+        left_of[after[after >= 0]] = at[after >= 0]
+        ids[at], ids[gone], right_of[gone] = new, -1, -1
+        edges = np.concatenate([left_of[at], at])
+        edges = np.unique(edges[edges >= 0])
+        edges = edges[(right_of[edges] >= 0) & (ids[edges] >= 0)]
+        fresh, more, groups = _grouped(code(edges), weight[edges])
+        delta = dict(zip(fresh.tolist(), more.tolist()))
+        for v, g in zip(fresh.tolist(), groups):
+            where.setdefault(v, []).append(edges[g])
+        for v, x in zip(old.tolist(), less.tolist()):
+            delta[v] = delta.get(v, 0) - x
         delta.setdefault(pair, 0)
-        for p, d in delta.items():
-            if d or p == pair:
-                count[p] += d
-                if count[p] > 0 and p != pair:
-                    heapq.heappush(heap, (-count[p], p))
-                elif count[p] <= 0:
-                    count.pop(p)
-                    where.pop(p, None)
+        for v, d in delta.items():
+            if d or v == pair:
+                total = count.get(v, 0) + d
+                if total > 0:
+                    count[v] = total
+                    if v != pair:
+                        heapq.heappush(heap, (-total, v))
+                else:
+                    count.pop(v, None)
+                    where.pop(v, None)
     return model
 
 
@@ -128,16 +165,26 @@ def _bounded(df: DataFrame, what: F.Column, most: int, name: str) -> int:
     return n
 
 
+def flat_ids(words: pa.ChunkedArray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words' characters, and their numbers of characters; -1 for a character without an id."""
+    table = np.full(0x110000, -1, np.int64)
+    for t, i in model.ids.items():
+        if len(t) == 1:
+            table[ord(t)] = i
+    sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+    return table[np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")], sizes
+
+
 def train_words(counts: DataFrame, model: Model, size: int, max_words: int = MAX_WORDS) -> Model:
-    """Word semantics: the kernel up to max_words distinct words, else one job a merge, with equal results."""
+    """Word semantics: the kernel up to max_words distinct words, else one job a merge, with equal results. Words with a character that has no id are left out."""
+    counts = kept(counts.select("word", F.col("freq").cast("long").alias("freq")))
     if counts.count() > max_words:
         return learn_distributed(counts, model, size - len(model.tokens))
-    words = []
-    for r in counts.orderBy("word").toLocalIterator():
-        ids = [model.ids.get(c) for c in r.word]
-        if None not in ids:
-            words.append((ids, r.freq))
-    return learn_words(words, model, size)
+    table = counts.toArrow()  # at most max_words rows
+    ids, sizes = flat_ids(table["word"], model)
+    known = np.ones(len(sizes), bool)
+    known[np.repeat(np.arange(len(sizes)), sizes)[ids < 0]] = False
+    return learn_flat(ids[np.repeat(known, sizes)], sizes[known], table["freq"].to_numpy()[known], model, size)
 
 
 def train_sequence(docs: DataFrame, model: Model, size: int, order: str = "doc_id", text_col: str = "text", separator: str = END_OF_TEXT) -> Model:
@@ -160,12 +207,12 @@ def train_repeat(seen: DataFrame, model: Model, size: int) -> Model:
 
 
 def learn_distributed(counts: DataFrame, model: Model, merges: int) -> Model:
-    """Word semantics with one aggregation per merge; lineage is cut by reliable checkpoints every few merges."""
+    """Word semantics with one aggregation per merge; the words' states are written at first and every few merges, so that no job repeats earlier ones."""
     spark = counts.sparkSession
     table = spark.createDataFrame(list(model.ids.items()), "c string, id int")
     parts = counts.select("word", "freq", F.posexplode(characters("word")).alias("pos", "c")).join(table, "c", "left")
     seq = parts.groupBy("word", "freq").agg(F.count_if(F.col("id").isNull()).alias("unknown"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))  # as long as a word
-    state = seq.where("unknown = 0").select("freq", wrapped(F.col("x.id")).alias("seq"))
+    state = kept(seq.where("unknown = 0").select("freq", wrapped(F.col("x.id")).alias("seq")))
     for k in range(merges):
         pairs = state.select(F.explode(adjacent(unwrapped(F.col("seq")))).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("cnt")).where("cnt > 0")
         top = pairs.orderBy(F.desc("cnt"), "left", "right").first()
@@ -173,6 +220,6 @@ def learn_distributed(counts: DataFrame, model: Model, merges: int) -> Model:
             break
         new = model.add(top.left, top.right)
         state = state.withColumn("seq", merge_step(F.col("seq"), top.left, top.right, new))
-        if k % 8 == 7 and spark.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+        if k % 8 == 7:
+            state = kept(state)
     return model

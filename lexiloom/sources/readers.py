@@ -6,8 +6,9 @@ there are two orders of filter and limit. Rows get numbers only if a limit asks
 
 from __future__ import annotations
 
+import itertools
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -17,8 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import has_text, not_blank
+from lexiloom.sources.scratch import scratch
 
 SUFFIXES = (".txt", ".jsonl", ".json", ".csv", ".parquet")
+#: Rows of a data set that the driver holds at once.
+BATCH_ROWS = 5_000
 #: What a CSV cell may hold to count as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -100,10 +104,35 @@ def frame(df: DataFrame, column: str, n: int | None) -> DataFrame:
     return limit_then_filter(d, has_text("text"), n)
 
 
-def dataset(spark: SparkSession, data: Any, column: str, n: int | None) -> DataFrame:
-    """A map-style data set of the `datasets` kind."""
-    _require(data.column_names, column)
-    d = spark.createDataFrame(pd.DataFrame({"text": data[column]})).select(F.col("text").cast("string"), F.monotonically_increasing_id().alias("place"))
+def batches(data: Any, column: str, size: int) -> Iterator[list]:
+    """The values of a column of a data set, `size` at a time: slices of a map-style one, rows of an iterable one. No more is held at once."""
+    if hasattr(data, "__getitem__") and hasattr(data, "__len__"):
+        for at in range(0, len(data), size):
+            yield list(data[at : at + size][column])
+        return
+    if not hasattr(data, "__iter__"):  # columns alone
+        values = data[column]
+        yield from (list(values[at : at + size]) for at in range(0, len(values), size))
+        return
+    rows = iter(data)
+    while part := [r[column] for r in itertools.islice(rows, size)]:
+        yield part
+
+
+def dataset(spark: SparkSession, data: Any, column: str, n: int | None, size: int = BATCH_ROWS) -> DataFrame:
+    """A data set of the `datasets` kind, map-style or iterable, written to the shared folder batch by batch; with a limit, no more batches are read than it needs."""
+    if getattr(data, "column_names", None) is not None:
+        _require(data.column_names, column)
+    folder, count, number = scratch(spark), 0, -1
+    for number, part in enumerate(batches(data, column, size)):
+        texts = [None if x is None else str(x) for x in part]
+        spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row int, text string").coalesce(1).write.parquet(f"{folder}/batch={number}")
+        count += sum(bool(t) for t in texts)
+        if n is not None and count >= n:
+            break
+    if number < 0:
+        spark.createDataFrame([], "row int, text string").write.parquet(f"{folder}/batch=0")
+    d = spark.read.schema("row int, text string, batch int").parquet(folder).select("text", F.struct("batch", "row").alias("place"))
     return filter_then_limit(d, has_text("text"), n)
 
 
@@ -134,7 +163,7 @@ def read_corpus(spark: SparkSession, source: Any, text_column: str = "text", max
         only = source[[text_column]].astype(object).where(source[[text_column]].notna(), None)
         only[text_column] = only[text_column].map(lambda v: None if v is None else str(v))
         return frame(spark.createDataFrame(only, f"`{text_column}` string"), text_column, max_samples)
-    if hasattr(source, "column_names") and type(source).__name__.endswith(("Dataset", "DatasetDict")):
+    if hasattr(source, "column_names") or type(source).__name__.endswith(("Dataset", "DatasetDict")):
         return dataset(spark, source, text_column, max_samples)
     if isinstance(source, (str, os.PathLike)):
         name = os.fspath(source)

@@ -24,6 +24,19 @@ def _write(path: str | os.PathLike, data: object, indent: int | None = 2) -> Non
     tmp.replace(p)
 
 
+def _write_counts(path: str | os.PathLike, counts: DataFrame, before: dict, name: str, after: dict) -> None:
+    """One JSON object: `before`, the counts under `name`, `after`. The words go through the driver partition by partition; no more are held."""
+    p = Path(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    tmp = p.with_name(p.name + ".part")
+    with tmp.open("w", encoding="utf-8") as f:
+        f.write("{" + "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}, " for k, v in before.items()) + f"{json.dumps(name)}: {{")
+        for k, r in enumerate(counts.toLocalIterator()):
+            f.write(("," if k else "") + f"\n{json.dumps(r.word, ensure_ascii=False)}: {r.freq}")
+        f.write("}" + "".join(f", {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in after.items()) + "}")
+    tmp.replace(p)
+
+
 def _read(path: str | os.PathLike):
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
@@ -50,9 +63,8 @@ def model_tables(spark: SparkSession, vocab_path: str, merges_path: str) -> tupl
 
 
 def save_state(counts: DataFrame, chars: int, files: list[str], path: str) -> None:
-    """The library's checkpoint: counts, characters and files so far, as one JSON file on the driver (the count table is as large as the vocabulary)."""
-    freqs = {r.word: r.freq for r in counts.orderBy("word").toLocalIterator()}
-    _write(path, {"version": STATE_VERSION, "chars_processed": chars, "processed_files": sorted(files), "word_freqs": freqs})
+    """The library's checkpoint: counts, characters and files so far, as one JSON file on the driver."""
+    _write_counts(path, counts.orderBy("word"), {"version": STATE_VERSION, "chars_processed": chars, "processed_files": sorted(files)}, "word_freqs", {})
 
 
 def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[str]]:
@@ -68,7 +80,7 @@ def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[str
 def save_cli_state(counts: DataFrame, min_frequency: int, path: str) -> None:
     """The command line's checkpoint; it overwrites an earlier one. Words keep the order of first_doc and first_pos, if there."""
     rows = counts.orderBy("first_doc", "first_pos") if "first_pos" in counts.columns else counts
-    _write(path, {"word_freq": {r.word: r.freq for r in rows.toLocalIterator()}, "min_frequency": min_frequency})
+    _write_counts(path, rows, {}, "word_freq", {"min_frequency": min_frequency})
 
 
 def load_cli_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:

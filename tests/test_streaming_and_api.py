@@ -83,6 +83,74 @@ def test_chunked_trainer(spark, tmp_path):
     assert table(t.counts)["endoftext"] == 2
 
 
+def test_sources_are_counted_once(spark, tmp_path):
+    """A file may go after it was added, and the plan does not grow with the number of sources."""
+    put(tmp_path, "a.parquet", ["one two", "two"])
+    t = api.ChunkedTrainer(spark)
+    t.add_file(str(tmp_path / "a.parquet"))
+    (tmp_path / "a.parquet").unlink()
+    depth = lambda: t.counts._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    few = depth()
+    for k in range(12):
+        t.add_text(f"two {k}")
+    assert depth() == few
+    assert table(t.counts)[" two"] == 1 and table(t.counts)["two"] == 13
+    assert t.chars == len("one twotwo") + sum(len(f"two {k}") for k in range(12))
+
+
+def test_a_joined_file_is_one_text(spark, tmp_path):
+    """Chunks at the seams are those of the joined text."""
+    import regex
+
+    from lexiloom.functions.tables import END_OF_TEXT
+    from lexiloom.functions.text import PRETOKEN
+
+    find = regex.compile(PRETOKEN.removeprefix("(?U)").replace(r"\x{0900}-\x{0DFF}", "\u0900-\u0dff"), regex.V1)
+    for texts in (["Ends.", "!starts", "'s own  ", "\n/ x", "s", "...", " a"], ["one"], []):
+        name = tmp_path / f"{len(texts)}.jsonl"
+        name.write_text("".join(json.dumps({"text": t}) + "\n" for t in texts), encoding="utf-8")
+        t = api.ChunkedTrainer(spark)
+        t.add_file(name)
+        joined = END_OF_TEXT.join(texts)
+        want: dict = {}
+        for c in find.findall(joined):
+            want[c] = want.get(c, 0) + 1
+        assert table(t.counts) == want and t.chars == len(joined)
+
+
+def test_data_sets_are_read_in_batches(spark):
+    class Stream:
+        def __init__(self, n):
+            self.n, self.read = n, 0
+
+        def __iter__(self):
+            for k in range(self.n):
+                self.read += 1
+                yield {"text": None if k == 3 else f"t{k}", "other": k}
+
+    class Table:
+        column_names = ["text"]
+
+        def __init__(self, n):
+            self.rows, self.most = [f"t{k}" for k in range(n)], 0
+
+        def __len__(self):
+            return len(self.rows)
+
+        def __getitem__(self, part):
+            self.most = max(self.most, part.stop - part.start)
+            return {"text": self.rows[part]}
+
+    data = Stream(25)
+    assert sorted(r.text for r in readers.dataset(spark, data, "text", None, 10).collect()) == sorted(f"t{k}" for k in range(25) if k != 3)
+    data = Stream(1000)
+    assert [r.text for r in readers.dataset(spark, data, "text", 4, 10).collect()] == ["t0", "t1", "t2", "t4"] and data.read <= 11
+    data = Table(25)
+    t = api.ChunkedTrainer(spark).add_from_dataset(data, batch_size=10)
+    assert t.unique_word_count == 26 and data.most == 10  # t, and the numbers
+    assert readers.dataset(spark, Stream(0), "text", None).count() == 0
+
+
 def run(*args):
     return cli.main([str(a) for a in args])
 

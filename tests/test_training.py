@@ -99,6 +99,31 @@ def test_pair_counts_of_a_joined_corpus(spark):
     assert (top.left, top.right) == ("a", "e")
 
 
+def test_pair_counts_of_repeated_and_null_places(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 3, 40):
+        rows = [(rng.choice([None, 1, 2, 2, 3]), "".join(rng.choices("ab<>|", k=rng.randint(0, 4)))) for _ in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id int, text string")
+        order = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        joined = END_OF_TEXT.join(t for _, t in order)
+        got = {(r.left, r.right): r.cnt for r in pairs.sequence_pairs(docs.repartition(3)).collect()}
+        assert got == Counter(zip(joined, joined[1:])), n
+
+
+def test_words_that_hold_a_pair(spark):
+    counts = spark.createDataFrame([("aaa", 5), ("aab", 1), ("c", 9)], "word string, freq long")
+    assert {(r.left, r.right): r.words for r in pairs.pair_words(counts).collect()} == {("a", "a"): 2, ("a", "b"): 1}
+
+
+def test_the_word_kernel_on_many_words():
+    rng = random.Random(8)
+    freq = Counter("".join(rng.choices("aabc", k=rng.randint(0, 14))) for _ in range(1500))
+    m = start(freq)
+    words = [([m.ids[c] for c in w], f) for w, f in freq.items()]
+    a = training.learn_words(words, start(freq), len(m.tokens) + 60)
+    assert a.merges == plain_words(words, start(freq), len(m.tokens) + 60).merges
+
+
 def test_merge_step_is_greedy(spark):
     rng = random.Random(3)
     rows = [[rng.randint(1, 3) for _ in range(rng.randint(0, 30))] for _ in range(200)] + [[1, 1, 1], [11, 1, 11]]
