@@ -8,11 +8,18 @@ so that no joined text is ever made.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.tables import END_OF_TEXT
 from lexiloom.functions.text import characters, has_text
+from lexiloom.sources.scratch import kept
 
 PAIR = ("left", "right")
 
@@ -32,6 +39,44 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*PAIR).agg(F.sum("n").alias("cnt")).where("cnt > 0")
 
 
+_MOST_SQUARED = 1 << 12
+
+
+def _neighbours(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, count) of the neighbouring characters of all texts, as code points."""
+    texts = column.drop_null()
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(points) < 2:
+        return points[:0], points[:0], np.zeros(0, np.int64)
+    inside = np.ones(len(points) - 1, bool)
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64))
+    inside[ends[(ends > 0) & (ends < len(points))] - 1] = False
+    present = np.flatnonzero(np.bincount(points))
+    place = np.zeros(int(present[-1]) + 1, np.int64)
+    place[present] = np.arange(len(present))
+    at, k = place[points], len(present)
+    code = at[:-1][inside] * k + at[1:][inside]
+    if k <= _MOST_SQUARED:
+        every = np.bincount(code, minlength=1)
+        found = np.flatnonzero(every)
+        counts = every[found]
+    else:
+        found, counts = np.unique(code, return_counts=True)
+    return present[found // k], present[found % k], counts.astype(np.int64)
+
+
+def neighbours(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(left, right, n): pairs of neighbouring characters of all texts, summed within each batch before any row of a pair is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                left, right, n = _neighbours(b.column(0).slice(k, 512))
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(chr, left.tolist())), pa.string()), pa.array(list(map(chr, right.tolist())), pa.string()), pa.array(n)], names=["left", "right", "n"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "left string, right string, n long")
+
+
 def word_pairs(counts: DataFrame) -> DataFrame:
     """(left, right, cnt) of (word, freq)."""
     return _summed(_exploded(counts, characters("word"), F.col("freq")))
@@ -46,7 +91,7 @@ def sequence_pairs(docs: DataFrame, order: str = "doc_id", text_col: str = "text
     if not separator:
         raise ValueError("the separator is not empty")
     d = docs.where(has_text(text_col)).select(F.col(order).alias("doc"), F.col(text_col).alias("text"))
-    inner = _exploded(d, characters("text"), F.lit(1).cast("long"))
+    inner = neighbours(d)
     place = F.struct("doc", "text")
     edge = d.agg(F.substring(F.min(place)["text"], 1, 1).alias("head"), F.expr("substring(max(struct(doc, text)).text, -1, 1)").alias("tail"), F.count("*").alias("docs")).where("docs > 0")
     first, last = F.lit(separator[0]), F.lit(separator[-1])
@@ -74,12 +119,10 @@ def repeat_pairs(seen: DataFrame) -> DataFrame:
     Inner pairs count freq times, the seam of a word with itself freq - 1 times, and that of a word with the next one once. The
     next one is found in ranges of the first places: within a range by a window, between ranges by their first and last words.
     """
-    w = seen.select("word", "freq", F.struct("first_doc", "first_pos").alias("place"))
+    w = kept(seen.select("word", "freq", F.struct("first_doc", "first_pos").alias("place")))
     inner = _exploded(w, characters("word"), F.col("freq"))
     ends = w.select("freq", "place", F.substring("word", 1, 1).alias("head"), F.expr("substring(word, -1, 1)").alias("tail"))
     own = ends.where("freq > 1").select(F.col("tail").alias("left"), F.col("head").alias("right"), (F.col("freq") - 1).alias("n"))
-    from pyspark.sql import Window as W
-
     part = ends.repartitionByRange("place").withColumn("part", F.spark_partition_id())
     inside = part.withColumn("right", F.lead("head").over(W.partitionBy("part").orderBy("place"))).where(F.col("right").isNotNull()).select(F.col("tail").alias("left"), "right", F.lit(1).cast("long").alias("n"))
     edges = part.groupBy("part").agg(F.min_by("head", "place").alias("head"), F.max_by("tail", "place").alias("tail"))  # a row a partition

@@ -110,6 +110,18 @@ def test_pair_counts_of_repeated_and_null_places(spark):
         assert got == Counter(zip(joined, joined[1:])), n
 
 
+def test_neighbours_of_any_alphabet(spark, monkeypatch):
+    texts = [None, "", "a", "ab", "日本é日本", "x" * 1000, "\U0001f600a\U0001f600", "\u0000b"] * 3
+    want = Counter(p for t in texts if t for p in zip(t, t[1:]))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for most in (pairs._MOST_SQUARED, 1):
+        monkeypatch.setattr(pairs, "_MOST_SQUARED", most)
+        got = Counter()
+        for r in pairs.neighbours(df).collect():
+            got[r.left, r.right] += r.n
+        assert got == want
+
+
 def test_words_that_hold_a_pair(spark):
     counts = spark.createDataFrame([("aaa", 5), ("aab", 1), ("c", 9)], "word string, freq long")
     assert {(r.left, r.right): r.words for r in pairs.pair_words(counts).collect()} == {("a", "a"): 2, ("a", "b"): 1}
