@@ -29,6 +29,48 @@ def test_insertion_and_deletion():
     assert fp.to_hex(*fp.combine(whole, rest, -1)) == fp.to_hex(*part)
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_vectors(text):
+    """Both kinds of lanes with Python's own integers, paragraph by paragraph and gram by gram."""
+    from lexiloom.llm import kernels as K
+
+    values, base = [int(x) for x in K._BYTE], K.BYTE_BASE
+    wide, near = [0] * fp.WIDE, [0] * fp.LANES
+    for p in text.encode().split(b"\n"):
+        digest = hashlib.blake2b(p).digest()
+        for k in range(fp.WIDE):
+            wide[k] = (wide[k] + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) & M64
+        grams = [p[i : i + fp.GRAM] for i in range(max(1, len(p) - fp.GRAM + 1))] if p else []
+        for g in grams:
+            h = mixed(sum(values[c] * pow(base, i, 1 << 64) for i, c in enumerate(g)) & M64)
+            near[h % fp.LANES] += 1 if h >> 63 else -1
+    return "".join(x.to_bytes(8, "little").hex() for x in wide) + "".join((x & 0xFFFF).to_bytes(2, "little").hex() for x in near)
+
+
+def plain_likeness(a, b):
+    lanes = lambda t: [int.from_bytes(bytes.fromhex(t[128 + 4 * k : 132 + 4 * k]), "little", signed=True) for k in range(fp.LANES)]
+    if a[:128] == b[:128]:
+        return 1.0
+    x, y = lanes(a), lanes(b)
+    most = max(sum(v * v for v in x), sum(v * v for v in y))
+    return min(1.0, max(0.0, sum(v * w for v, w in zip(x, y)) / most)) if most else 0.0
+
+
+def test_vectors_are_those_of_the_definition():
+    texts = ["", "a", "\n", "short\n\nlonger than twelve bytes\nx" * 3, "é日本 tail", "\n".join(LINES)]
+    assert fp.to_hex(*fp.vectors([t.encode() for t in texts])) == [plain_vectors(t) for t in texts]
+    for a, b in zip(texts, texts[1:] + texts[-1:]):
+        assert abs(fp.likeness(*vec(a), *vec(b))[0] - plain_likeness(plain_vectors(a), plain_vectors(b))) < 1e-12
+
+
 def test_batches_do_not_matter():
     texts = [(t or "").encode() for t in TEXTS]
     together = fp.to_hex(*fp.vectors(texts))

@@ -17,6 +17,31 @@ def test_grams_stay_inside_texts():
     assert sum(alone, []) == g.tolist()
 
 
+def plain_grams(text):
+    """Buckets of the 3-grams of letters and single blanks, byte by byte."""
+    raw = [c + 32 if 65 <= c <= 90 else c for c in text.encode()]
+    letter = [97 <= c <= 122 or c >= 128 for c in raw]
+    b = [c if x else 32 for c, x in zip(raw, letter)]
+    return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 17 for i in range(len(b) - 2) if (letter[i] or letter[i + 1]) and (letter[i + 1] or letter[i + 2])]
+
+
+def plain_table(counts):
+    import math
+
+    out = []
+    for row in counts:
+        total = sum(row) + 0.5 * language.BUCKETS
+        out.append([math.log((x + 0.5) / total) for x in row])
+    return np.array(out + [[-math.log(language.BUCKETS)] * language.BUCKETS]).T
+
+
+def test_grams_and_tables_are_those_of_the_definition():
+    for t in ("abcd", "A\tB", "12 4.5 a 12", EN, DE, "é日本 x", ""):
+        assert language._grams(*K.text_buffers(pa.array([t])))[0].tolist() == plain_grams(t)
+    counts = np.random.default_rng(4).integers(0, 9, (2, language.BUCKETS))
+    assert abs(language.log_table(counts) - plain_table(counts.tolist())).max() < 1e-5
+
+
 def rows(spark, data):
     return spark.createDataFrame(data, "id long, text string, declared string, suffix string, host string")
 
@@ -33,12 +58,12 @@ def brute(data):
     data = [(i, t or "", said(d), s, h) for i, t, d, s, h in data]
     n = Counter(d for _, _, d, _, _ in data)
     langs = sorted(d for d in n if d and n[d] / len(data) >= language.MIN_SHARE)
-    grams = [language._grams(*K.text_buffers(pa.array([t])))[0] for _, t, *_ in data]
+    grams = [np.array(plain_grams(t), np.int64) for _, t, *_ in data]
     counts = np.zeros((len(langs), language.BUCKETS))
     for (_, _, d, _, _), g in zip(data, grams):
         if d in langs:
             np.add.at(counts[langs.index(d)], g, 1)
-    table = language.log_table(counts)
+    table = plain_table(counts.tolist())
     ll = [table[g].sum(0, dtype=float) * min(1, language.MOST_GRAMS / max(len(g), 1)) * language.TEMPER for g in grams]
     names = [*langs, language.UNKNOWN]
     letters = [any(c.isalpha() for c in t) for _, t, *_ in data]
