@@ -33,6 +33,8 @@ from lexiloom.llm.storage import checkpoint
 STATES, CLASSES, PASSES, START_PASSES = 8, 1024, 2, 60
 #: Documents whose recursions run side by side.
 TOGETHER = 4096
+#: Tokens of a piece: longer texts are cut, and their pieces joined exactly by products of matrices.
+LONG = 8192
 END = np.uint64(0x8E5D3C2B1A096F7D)
 
 
@@ -165,42 +167,101 @@ def first_model(pairs: np.ndarray, states: int = STATES, passes: int = START_PAS
     return Model(joint.sum(1), joint / joint.sum(1, keepdims=True), emit)
 
 
-def _order(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents from the longest to the shortest, their first places, and how many have more than t tokens."""
-    size = np.diff(off)
+@dataclass(frozen=True)
+class Pieces:
+    """Sequences cut into pieces of LONG tokens at most, so that recursions over one huge text run side by side, too."""
+
+    first: np.ndarray  # place of each piece's first token
+    size: np.ndarray
+    doc: np.ndarray
+    parts: np.ndarray  # the pieces of sequences that have several, in order
+
+    @staticmethod
+    def of(off: np.ndarray) -> Pieces:
+        size = np.diff(off)
+        n = np.maximum(1, -(-size // LONG))
+        doc = np.repeat(np.arange(len(size)), n)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        first = off[:-1][doc] + k * LONG
+        return Pieces(first, np.minimum(LONG, off[1:][doc] - first), doc, np.flatnonzero(n[doc] > 1))
+
+    def follows(self, k: int) -> bool:
+        """Whether piece k goes on with the sequence of the piece before it."""
+        return k > 0 and self.doc[k - 1] == self.doc[k]
+
+
+def _order(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences from the longest to the shortest, and how many have more than t tokens."""
     order = np.argsort(-size, kind="stable")
-    alive = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")
-    return order, off[:-1][order], alive
+    return order, np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")
 
 
-def forward(m: Model, cls: np.ndarray, off: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-    """Natural log-likelihood of each class sequence; keep gets the scaled forward vectors by place."""
-    order, first, alive = _order(off)
+def _run(m: Model, cls: np.ndarray, first: np.ndarray, size: np.ndarray, begin: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood, last forward vector) of each sequence from its state probabilities before the first token; keep gets the scaled vectors by place."""
+    order, alive = _order(size)
+    first = first[order]
     emit = np.ascontiguousarray(m.emit.T)
-    logs = np.zeros(len(order))
-    a = np.broadcast_to(m.start, (len(order), len(m.start)))
+    logs, last = np.zeros(len(order)), np.empty((len(order), len(m.start)))
+    a = begin[order]
     for t, n in enumerate(alive.tolist()):
         at = first[:n] + t
         a = (a[:n] if t == 0 else a[:n] @ m.move) * emit[cls[at]]
         scale = a.sum(1)
         a /= scale[:, None]
         logs[:n] += np.log(scale)
+        more = int(alive[t + 1]) if t + 1 < len(alive) else 0
+        last[more:n] = a[more:]
         if keep is not None:
             keep[at] = a
-    out = np.empty(len(order))
-    out[order] = logs
-    return out
+    out, end = np.empty(len(order)), np.empty_like(last)
+    out[order], end[order] = logs, last
+    return out, end
+
+
+def _begins(m: Model, cls: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities before each piece, and (by piece of `parts`) the scaled matrices that take those to its last forward vector: a run from every state, chained."""
+    s, k = len(m.start), len(p.parts)
+    begin = np.tile(m.start, (len(p.size), 1))
+    if not k:
+        return begin, np.zeros((0, s, s))
+    logs, last = _run(m, cls, np.repeat(p.first[p.parts], s), np.repeat(p.size[p.parts], s), np.tile(np.eye(s), (k, 1)))
+    logs = logs.reshape(k, s)
+    through = last.reshape(k, s, s) * np.exp(logs - logs.max(1, keepdims=True))[:, :, None]
+    for i, piece in enumerate(p.parts.tolist()):
+        if p.follows(piece):
+            a = begin[piece - 1] @ through[i - 1]
+            begin[piece] = (a / a.sum()) @ m.move
+    return begin, through
+
+
+def forward(m: Model, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Natural log-likelihood of each class sequence."""
+    p = Pieces.of(off)
+    logs, _ = _run(m, cls, p.first, p.size, _begins(m, cls, p)[0])
+    return np.bincount(p.doc, logs, len(off) - 1)
 
 
 def expected(m: Model, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Baum-Welch counts of all sequences, flattened: starts, moves, emissions."""
     s = len(m.start)
-    order, first, alive = _order(off)
+    p = Pieces.of(off)
+    begin, through = _begins(m, cls, p)
     ahead = np.empty((len(cls), s), np.float32)
-    forward(m, cls, off, ahead)
+    _run(m, cls, p.first, p.size, begin, ahead)
     emit = np.ascontiguousarray(m.emit.T)
     moves, starts = np.zeros((s, s)), np.zeros(s)
-    back = np.ones((len(order), s))
+    ends = np.ones((len(p.size), s))  # backward vectors of the last tokens
+    for i in range(len(p.parts) - 1, -1, -1):
+        k = int(p.parts[i])
+        if p.follows(k):
+            w = through[i] @ ends[k]
+            a, b = ahead[p.first[k] - 1].astype(float), m.move @ w
+            moves += m.move * np.outer(a / (a @ b), w)
+            ends[k - 1] = b / (a @ b)
+    order, alive = _order(p.size)
+    first = p.first[order]
+    opening = np.concatenate([[True], np.diff(p.doc) > 0])[order] if len(order) else np.zeros(0, bool)
+    back = ends[order]
     for t in range(len(alive) - 1, -1, -1):
         n = int(alive[t])
         at = first[:n] + t
@@ -215,7 +276,7 @@ def expected(m: Model, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
         g = a * back[:n]
         ahead[at] = g  # from here on the place's posterior
         if t == 0:
-            starts += g.sum(0)
+            starts += g[opening].sum(0)
     emissions = np.stack([np.bincount(cls, ahead[:, k], CLASSES) for k in range(s)])
     return np.concatenate([starts, moves.ravel(), emissions.ravel()])
 

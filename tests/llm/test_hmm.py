@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -87,6 +88,21 @@ def test_expected_counts_are_those_of_all_paths():
     assert hmm.expected(m, cls, off) == pytest.approx(np.concatenate([starts, moves.ravel(), emits.ravel()]), rel=1e-5, abs=1e-6)
 
 
+def test_pieces_of_long_texts_are_joined_exactly(monkeypatch):
+    m = model(6)
+    rng = np.random.default_rng(6)
+    off = np.concatenate([[0], np.cumsum([1, 4, 5, 8, 9, 61, 3, 200])])
+    cls = rng.integers(0, hmm.CLASSES, off[-1]).astype(np.int16)
+    whole = hmm.forward(m, cls, off), hmm.expected(m, cls, off)
+    monkeypatch.setattr(hmm, "LONG", 4)
+    assert np.allclose(hmm.forward(m, cls, off), whole[0], rtol=1e-10)
+    assert np.allclose(hmm.expected(m, cls, off), whole[1], rtol=1e-4, atol=1e-6)
+    monkeypatch.setattr(hmm, "LONG", 8192)
+    start = time.perf_counter()
+    hmm.forward(m, rng.integers(0, hmm.CLASSES, 3_000_000).astype(np.int16), np.array([0, 3_000_000]))
+    assert time.perf_counter() - start < 20
+
+
 def test_baum_welch_raises_the_likelihood(docs):
     rng = random.Random(3)
     texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"] if i % 2 else ["eins", "zwei", "drei"], k=rng.randint(0, 30))) for i in range(200)]
