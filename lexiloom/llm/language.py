@@ -12,7 +12,8 @@ Languages are the declared ones (two or three letters in lower case, up to the f
 have MIN_GRAMS 3-grams, whatever their share of the table; the driver and the closures hold tables of these languages x a fixed
 number of 3-gram buckets, and each row has a likelihood of each. The 3-grams of all declared languages are counted in Spark, host
 counts stay there and are joined by host. A declared language with fewer 3-grams has no table, so nothing speaks against its
-declaration: where a row declares it, it stands in the place of the reject class, at no cost, and the row is kept.
+declaration: where a row declares it, it stands in the place of the reject class, at no cost, and the row is kept. So do languages beyond
+the MOST_TABLES of most 3-grams, which bound what workers hold.
 
 Defined results: a null or empty text has no text evidence, and a row without any letter is rejected; null
 declarations and hosts are no evidence; a table in which no language has a table gives the declared languages
@@ -43,6 +44,8 @@ UNKNOWN = "und"
 REJECT = 1e-4
 #: With so many 3-grams (2,000) a language's evenly smoothed rest is below the reject class by REJECT for the longest text; with fewer it would take in any noise.
 MIN_GRAMS = round(0.5 * BUCKETS * (REJECT ** (-1 / (TEMPER * MOST_GRAMS)) - 1))
+#: Languages with a table, at most: any two or three letters may be declared, and each table takes 128 KB in every worker.
+MOST_TABLES = 512
 #: Languages of which a task holds counts, and languages scored at once.
 HELD, WIDTH = 64, 8
 _LETTER = np.zeros(256, bool)
@@ -105,8 +108,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def learnt(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages with MIN_GRAMS, and their (languages, BUCKETS) counts."""
-    languages = sorted(r.declared for r in counts.groupBy("declared").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GRAMS).collect())
+    """The languages with MIN_GRAMS (the MOST_TABLES of most 3-grams, if there are more), and their (languages, BUCKETS) counts."""
+    languages = sorted(r.declared for r in counts.groupBy("declared").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GRAMS).orderBy(F.desc("n"), "declared").limit(MOST_TABLES).collect())
     out = np.zeros(len(languages) * BUCKETS)
     if languages:
         place = F.array_position(F.array(*map(F.lit, languages)), F.col("declared")) - 1

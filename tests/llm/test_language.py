@@ -134,6 +134,14 @@ def test_languages_of_a_small_share(spark):
         assert all((got[100 + k].lang, got[100 + k].kept) == ("en", True) for k in range(n))
 
 
+def test_languages_beyond_the_tables_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_TABLES", 1)
+    data = [(k, EN * 40, "en", None, "a") for k in range(60)] + [(100 + k, DE * 3, "de", None, "a") for k in range(40)] + [(200, EN * 3, "de", None, "a")]
+    got = {r.id: (r.lang, r.kept) for r in language.identify(rows(spark, data)).collect()}
+    assert all(got[k] == ("en", True) for k in range(60)) and all(got[100 + k] == ("de", True) for k in range(40))
+    assert got[200] == ("en", True)
+
+
 def test_counts_given_away_early(spark, monkeypatch):
     data = [(k, EN * (k + 1), ("aa", "bb", "cc")[k % 3], None, None) for k in range(12)]
     count = lambda: sorted(map(tuple, language.gram_counts(rows(spark, data).coalesce(1)).collect()))
