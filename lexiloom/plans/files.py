@@ -5,13 +5,14 @@ What a query needs as files it writes to the shared folder first, from a whole t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom import api
+from lexiloom import api, cli
 from lexiloom.functions.tables import END_OF_TEXT, SPECIAL_TOKENS
 from lexiloom.operators import codec, pairs, training, vocab, wordfreq
 from lexiloom.operators.spm import SentencePieceModel
@@ -187,6 +188,16 @@ def stream_files(spark, sf_dir):
     return incremental.processed_files(spark, _streamed(spark, sf_dir)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "chars", "rows")
 
 
+@query(_COUNTS)
+def stream_running(spark, sf_dir):
+    """A continuous query that keeps its counts in memory."""
+    name = "running_" + uuid.uuid4().hex
+    q = incremental.running_counts(incremental.read_stream(spark, sf_dir, pattern="documents.parquet"), name)
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
 _SENTENCES = f"(SELECT regexp_replace(regexp_replace(text, '^[{_W}]+', ''), '[{_W}]+$', '') AS sentence FROM documents WHERE regexp_matches(text, '[^{_W}]'))"
 
 
@@ -263,6 +274,37 @@ def finalized_merges(spark, sf_dir):
     return merge_names(spark, t.finalize(size).model)
 
 
+@query(merges_sql(3, f"(SELECT word, freq FROM {_FREQ} WHERE freq >= 2)"))
+def train_library(spark, sf_dir):
+    """The library's one call: counts of a file, merges, model files."""
+    folder = _local(scratch(spark))
+    counts = wordfreq.at_least(wordfreq.word_counts(docs(spark, sf_dir)), 2)
+    size = len(vocab.vocab_lists(counts, "word")[0]) + 3
+    api.train(f"{sf_dir}/documents.parquet", size, mode="chunked", output_dir=folder, spark=spark)
+    return merge_names(spark, sinks.load_model(f"{folder}/tokenizer_vocab.json", f"{folder}/tokenizer_merges.json"))
+
+
+@query(merges_sql(3, f"(SELECT word, freq FROM {_FREQ} WHERE freq >= 2)"))
+def cli_finalize(spark, sf_dir):
+    """The command line: counts into a checkpoint, then merges from it."""
+    folder = _local(scratch(spark))
+    counts = wordfreq.at_least(wordfreq.word_counts(docs(spark, sf_dir)), 2)
+    size = len(vocab.vocab_lists(counts, "word")[0]) + 3
+    common = ["-m", "chunked", "--semantics", "word", "--checkpoint", f"{folder}/counts.json", "--min-frequency", "2", "--quiet"]
+    for args in (["-i", f"{sf_dir}/documents.parquet"], ["--finalize", "-v", str(size), "--vocab-out", f"{folder}/v.json", "--merges-out", f"{folder}/m.json"]):
+        if cli.main(common + args):
+            raise RuntimeError("the command line failed")
+    return merge_names(spark, sinks.load_model(f"{folder}/v.json", f"{folder}/m.json"))
+
+
+@query(merges_sql(3, f"(SELECT word, freq FROM {_FREQ} WHERE NOT contains(word, 'e'))"))
+def merges_of_known_characters(spark, sf_dir):
+    """Words with a character that the vocabulary lacks teach nothing."""
+    counts = wordfreq.word_counts(docs(spark, sf_dir))
+    tokens = [t for t in vocab.vocab_lists(counts, "word")[0] if t != "e"]
+    return merge_names(spark, training.train_words(counts, training.Model(tokens, {t: i for i, t in enumerate(tokens)}), len(tokens) + 3))
+
+
 # pairs
 
 
@@ -303,7 +345,10 @@ def decode_by_join(spark, sf_dir):
 
 
 def _sentencepiece(spark: SparkSession, sf_dir: str) -> SentencePieceModel:
-    return SentencePieceModel().train(docs(spark, sf_dir), 1000, _local(scratch(spark)) + "/sp")
+    """Trained, written, and loaded from its file."""
+    prefix = _local(scratch(spark)) + "/sp"
+    SentencePieceModel().train(docs(spark, sf_dir), 1000, prefix)
+    return SentencePieceModel().load(f"{prefix}.model")
 
 
 @query(rf"SELECT doc_id, trim(regexp_replace(text, '[{_W}]+', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL")
@@ -322,6 +367,24 @@ def sp_encode(spark, sf_dir):
     return d.select("doc_id", (F.transform("pieces", lambda p: table[p]) == F.col("ids")).alias("pieces_are_ids"))
 
 
+@query("SELECT unnest(range(1000))::INTEGER AS id, true AS found")
+def sp_lookup(spark, sf_dir):
+    """Every id's piece, looked up again."""
+    m = _sentencepiece(spark, sf_dir)
+    return spark.createDataFrame([(r.id, m.piece_to_id(m.id_to_piece(r.id)) == r.id) for r in m.pieces(spark).collect()], "id int, found boolean")
+
+
+@query(rf"SELECT regexp_replace(sentence, '[\r\n]+', ' ', 'g') AS sentence FROM {_SENTENCES}")
+def sp_corpus(spark, sf_dir):
+    """Sentences that the command line collects for SentencePiece; a file is taken once."""
+    checkpoint = _local(scratch(spark)) + "/sp.json"
+    for _ in range(2):
+        if cli.main(["-a", "sentencepiece", "-m", "chunked", "-i", f"{sf_dir}/documents.parquet", "--checkpoint", checkpoint, "-v", "1000", "--quiet"]):
+            raise RuntimeError("the command line failed")
+    state = sinks.load_sp_state(checkpoint)
+    return spark.read.text(f"{state['corpus_file']}/*").select(F.col("value").alias("sentence"))
+
+
 def _passes_sql() -> str:
     """Passes of three merges over the chunks of every text: each goes from left to right and merges whatever pair has a merge."""
     a, b, gap = "chr(57344)", "chr(57345)", "chr(57346)"
