@@ -117,6 +117,29 @@ def test_equal_ids_one_row_and_no_row(docs):
     assert fp.fingerprints(docs([])).count() == 0
 
 
+def test_many_rows_of_one_id_or_none(spark, docs):
+    """They are ordered by a hash of their texts, and split over ranges."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.llm.ranges import LEAST, ranges
+
+    texts = [f"text {i} of {i * i}\nwith two lines" for i in range(90)]
+    ids = [None] * 40 + [7] * 40 + list(range(10, 20))
+    d = docs(texts, ids=ids)
+    tie = {r.text: r.tie for r in d.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    want = {}
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        want[hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] = i
+    for parts in (1, 6):
+        assert {r.edited_sha256: r.doc_id for r in fp.with_next(d.repartition(3), parts=parts).collect()} == want
+    keyed = d.select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"), F.xxhash64("text").alias("tie"))
+    spread = keyed.select("key", ranges(keyed, "key", 6)(F.col("key"), F.col("tie")).alias("b")).groupBy("key").agg(F.count_distinct("b").alias("n"))
+    assert all(r.n > 1 for r in spread.where(F.col("key").isin(LEAST, 7)).collect())
+
+
 def test_query_over_a_whole_table(spark):
     from tests.llm.common import SMALL, table
 

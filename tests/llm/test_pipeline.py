@@ -44,3 +44,22 @@ def test_run_is_the_stages_together(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
     rows = lambda d: sorted(map(str, d.select("doc_id", "n_tokens", "ids_sha256").collect()))
     assert rows(cp.run(spark, SMALL)) == rows(docs)
+
+
+def test_documents_in_a_rare_language_stay(spark):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    english, rare = "the cat sat on the mat and then it went out with the other cats of the town ", "kötturinn settist á mottuna og síðan fór hann út með hinum köttunum í bænum "
+    rows = [(k, english[k % 20 :] * 3, "en", f"s{k % 4}", 0) for k in range(3000)] + [(5000 + k, rare * 30, "is", "s1", 0) for k in range(2)]
+    kept = {r.doc_id for r in cp.identify_language(spark, spark.createDataFrame(rows, columns), SMALL).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows}
+
+
+def test_empty_table_nulls_and_repeated_rows(spark):
+    """Every stage takes them; equal rows come down to one, and a null text has nothing to encode."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(1, None, None, None, None)], [(None, "some words of one text here", "en", "a", 1)] * 3 + [(2, None, "en", None, None), (2, "", None, "a", 0)]):
+        docs = spark.createDataFrame(rows, columns)
+        for k, (_name, stage) in enumerate(cp.STAGES):
+            docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), stage(spark, docs, SMALL).schema)
+            assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.count() <= len(rows)
