@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.functions.tables import ASSIGNED, DEFAULT_SIZE, END_OF_TEXT, SCRIPTS, SPECIAL_TOKENS
 from lexiloom.operators import codec, pairs, training, vocab, wordfreq
+from lexiloom.session import spread
 from lexiloom.sources import readers
 from lexiloom.sources.scratch import kept
 
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # DuckDB has no look-ahead: without the branch for blanks before a blank the chunks differ only where two blanks meet.

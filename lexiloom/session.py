@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -25,3 +25,9 @@ def ship(spark: SparkSession) -> SparkSession:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
         context.addPyFile(path)  # copied to each executor by Spark
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt out to all cores if it has fewer parts than there are cores (a file of one row group cannot be split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
