@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, fingerprint, hmm, language, media, mixing, neardup, substrings, suffixes, toxicity
 from lexiloom.session import spread
@@ -72,7 +73,42 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op4_language": op4_language, "language_of_pages": language_of_pages, "op5_mixing": op5_mixing, "op6_fingerprints": op6_fingerprints, "op7_toxicity": op7_toxicity, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm}
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1: what decoding gives."""
+    return op1_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5: the sources' sizes and targets."""
+    d = table(spark, sf_dir, "documents").select("source", mixing.word_count(F.col("text")).alias("size"), F.lit(1).cast("long").alias("n"))
+    return mixing.targets(d).select("source", F.col("source_size").cast("long").alias("source_size"), F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6: the edited texts."""
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def held_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7: the rows whose labels are not learned from."""
+    return table(spark, sf_dir, "documents").select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9: what is stored and read back."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10: counts and the score of single words."""
+    return op10_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_substrings": op2_substrings, "op3_neardup": op3_neardup, "op4_language": op4_language, "language_of_pages": language_of_pages, "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints, "op7_toxicity": op7_toxicity, "op8_suffixes": op8_suffixes, "op9_media": op9_media, "op10_hmm": op10_hmm,
+    "decoded_texts": decoded_texts, "mixing_targets": mixing_targets, "edited_texts": edited_texts, "held_out_rows": held_out_rows, "media_payloads": media_payloads, "base_scores": base_scores,
+}
 _WORDS = r"'[^ \t\n\x0b\f\r]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -97,5 +133,50 @@ r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, r.c FROM r JOIN
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-#: Of the other queries no whole row can be said in SQL: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_substrings": _REPEATED_WINDOWS, "op3_neardup": _NEAR_COPIES}
+_REPEATED_BYTES = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(1, length(h) // 2 - 198)) AS i, h FROM t),
+k AS (SELECT doc_id, i, md5_number(substring(h, 2 * i - 1, 400)) AS x FROM p),
+many AS (SELECT x FROM k GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM k SEMI JOIN many USING (x)),
+step AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM hit),
+run AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM step),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 199 AS b FROM run GROUP BY doc_id, r),
+parts AS (SELECT doc_id, h, a, b, coalesce(lag(b) OVER w, 0) AS before, lead(a) OVER w IS NULL AS final FROM span JOIN t USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (SELECT doc_id, count(*) AS spans, sum(b - a + 1) AS gone, string_agg(substring(h, 2 * before + 1, 2 * (a - before - 1)) || CASE WHEN final THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS k FROM parts GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+#: crc32 of doc_id as text, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"
+
+_TARGETS = f"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), {_WORDS})))::BIGINT AS size FROM documents GROUP BY source),
+w AS (SELECT source, size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+f AS (SELECT *, 3 * size / weight AS fill FROM w),
+c AS (SELECT a.fill, ((SELECT sum(size) FROM f) - sum(CASE WHEN b.fill < a.fill THEN 3 * b.size ELSE 0 END)) / sum(CASE WHEN b.fill >= a.fill THEN b.weight ELSE 0 END) AS level FROM f a, f b GROUP BY a.source, a.fill),
+l AS (SELECT max(level) AS level FROM c WHERE level <= fill)
+SELECT source, size AS source_size, round(least(3.0 * size, coalesce(level * weight, 3.0 * size)), 3) AS target FROM f, l
+"""
+
+_EDITED = """
+WITH n AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS after FROM documents),
+p AS (SELECT doc_id, text, length(text) // 2 AS half, coalesce(after, (SELECT coalesce(text, '') FROM documents ORDER BY doc_id LIMIT 1)) AS after FROM n)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(substring(text, 1, length(text) - half) || substring(after, 1, half)) AS edited_sha256 FROM p
+"""
+
+_PAYLOADS = "SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(h || repeat('FF', size - n))) AS payload_sha256 FROM (SELECT doc_id, h, n, greatest(576, (n + 575) // 576 * 576)::BIGINT AS size FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents))"
+
+_BASE = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(regexp_extract_all({_LOWER}, {_WORDS}), '') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+z AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1))), 3) AS base_score FROM t LEFT JOIN c USING (word), z GROUP BY doc_id, held_out
+"""
+
+#: Of the other queries no whole row can be said in SQL: tests hold them against brute force, and queries of their own have the columns that SQL can say.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": _REPEATED_WINDOWS, "op3_neardup": _NEAR_COPIES, "op8_suffixes": _REPEATED_BYTES, "decoded_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+    "mixing_targets": _TARGETS, "edited_texts": _EDITED, "held_out_rows": f"SELECT doc_id, {_CRC} % 5 = 0 AS held_out FROM documents", "media_payloads": _PAYLOADS, "base_scores": _BASE,
+}

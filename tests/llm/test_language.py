@@ -170,3 +170,26 @@ def test_queries_over_whole_tables(spark):
     assert all(ref[r.doc_id][0] == r.lang and ref[r.doc_id][2] == r.kept for r in got.itertuples())
     pages = queries.language_of_pages(spark, where).toPandas()
     assert len(pages) == len(table("pages", where)) and pages.kept.mean() > 0.95
+
+
+def test_pages_against_brute_force(spark):
+    import re
+
+    from tests.llm.common import table
+
+    where = "/root/testdata/sf0.01"
+
+    def parts(url, html):
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", url or "")
+        host = host[1].lower() if host else None
+        body = re.sub(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ", html or "", flags=re.I | re.S)
+        body = re.sub(r"&[#\w]+;", " ", re.sub(r"<[^>]*>", " ", body, flags=re.S), flags=re.A)
+        said = re.search(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", html or "", re.I | re.S)
+        return body, said and said[1], host and host.split(".")[-1], host
+
+    want = brute([(r.page_id, *parts(r.url, r.html)) for r in table("pages", where).itertuples()])
+    got = queries.language_of_pages(spark, where).collect()
+    assert len(got) == len(want) > 200
+    for r in got:
+        lang, p, kept = want[r.page_id]
+        assert (r.lang, r.kept) == (lang, kept) and abs(r.posterior - p) < 1e-6
