@@ -35,11 +35,16 @@ def _sorted(docs: pa.Table) -> pa.Table:
     return docs.sort_by([("s_null", "ascending"), ("s_key", "ascending"), ("s_tie", "ascending")])
 
 
-def _windows(text: pa.ChunkedArray, width: int):
-    raw, off = K.text_buffers(text)
+def _windows(raw: np.ndarray, off: np.ndarray, width: int):
     h, s, e, word_off = K.word_hashes(raw, off)
     at, win = K.window_hashes(h, word_off, width)
-    return raw, s, e, word_off, at, win
+    return s, e, word_off, at, win
+
+
+def _keys(raw: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
+    """The distinct hashes of all windows, in order; slices of the block are hashed one after the other, so that its texts and these are all that is held."""
+    parts = [np.unique(_windows(raw, off[i : j + 1], width)[-1]) for i, j in K.slices(off)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int | None = None, *, digest: bool = True, keep_text: bool = True) -> DataFrame:
@@ -54,38 +59,43 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     reducers = blocks.reducers
 
     def send(block: int, docs: pa.Table) -> pa.Table:
-        *_, win = _windows(docs[words], width)
-        return X.rows(X.ask(block, np.unique(win), reducers))
+        return X.rows(X.ask(block, _keys(*K.text_buffers(docs[words]), width), reducers))
 
     replies = X.reduce(X.mapped(blocks, send, X.MESSAGE), X.seen_before)
     schema = ", ".join(f"`r_{c}` {t}" for c, t in df.dtypes) + ", n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<from:long,to:long>>"
 
     def finish(block: int, docs: pa.Table, table: pa.Table) -> pa.Table:
         docs = _sorted(docs)
-        raw, s, e, word_off, at, win = _windows(docs[words], width)
-        values, first, inverse = np.unique(win, return_index=True, return_inverse=True)
+        raw, off = K.text_buffers(docs[words])
+        values = _keys(raw, off, width)
         flags, _ = X.answers(table)
-        again = X.joined_bits(flags)[inverse] if len(win) else np.zeros(0, bool)
-        here = np.arange(len(win)) != first[inverse]
-        gone = K.cover(at[again | here], width, len(s))
-        removed = np.concatenate([[0], np.cumsum(gone)])
-        n_removed = removed[word_off[1:]] - removed[word_off[:-1]]
-        texts = docs[words].to_pylist()
+        again = X.joined_bits(flags) if len(values) else np.zeros(0, bool)  # earlier blocks have it, or an earlier place of this one
+        n_words, n_removed = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.int64)
         sha, kept_texts, spans = [], [], []
-        data = raw.tobytes()
-        for d in range(docs.num_rows):
-            i, j = int(word_off[d]), int(word_off[d + 1])
-            if n_removed[d]:
-                left = np.flatnonzero(~gone[i:j]) + i
-                kept = b" ".join([data[a:b] for a, b in zip(s[left].tolist(), e[left].tolist())])
-                a, b = K.runs(gone[i:j])
-                spans.append([{"from": x, "to": y} for x, y in zip(a.tolist(), b.tolist())])
-            else:
-                kept = b" ".join((texts[d] or "").encode().split())  # bytes.split() cuts at the same six characters
-                spans.append([])
-            sha.append(hashlib.sha256(kept).hexdigest() if digest else None)
-            kept_texts.append(kept.decode() if keep_text else None)
-        out = [docs[f"r_{c}"] for c in cols] + [pa.array(np.diff(word_off), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]
+        for low, high in K.slices(off):
+            s, e, word_off, at, win = _windows(raw, off[low : high + 1], width)
+            place = np.searchsorted(values, win)
+            met, first = np.unique(place, return_index=True)
+            hit = np.ones(len(win), bool)
+            hit[first] = again[met]
+            again[met] = True
+            gone = K.cover(at[hit], width, len(s))
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            n_words[low:high] = np.diff(word_off)
+            n_removed[low:high] = removed[word_off[1:]] - removed[word_off[:-1]]
+            for d in range(low, high):
+                text = raw[off[d] : off[d + 1]].tobytes()
+                if n_removed[d]:
+                    i, j = int(word_off[d - low]), int(word_off[d - low + 1])
+                    left = np.flatnonzero(~gone[i:j]) + i
+                    kept = b" ".join([text[a:b] for a, b in zip((s[left] - off[d]).tolist(), (e[left] - off[d]).tolist())])
+                    spans.append([{"from": int(x), "to": int(y)} for x, y in zip(*K.runs(gone[i:j]))])
+                else:
+                    kept = b" ".join(text.split())  # bytes.split() cuts at the same six characters
+                    spans.append([])
+                sha.append(hashlib.sha256(kept).hexdigest() if digest else None)
+                kept_texts.append(kept.decode() if keep_text else None)
+        out = [docs[f"r_{c}"] for c in cols] + [pa.array(n_words), pa.array(n_removed), pa.array(sha, pa.string()), pa.array(kept_texts, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]
         return pa.Table.from_arrays(out, names=[f"r_{c}" for c in cols] + ["n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
 
     return X.answered(blocks, replies, finish, schema)
