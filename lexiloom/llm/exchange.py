@@ -30,8 +30,8 @@ from lexiloom.llm.ranges import LEAST, ranges
 
 #: Bytes of text in a block, at least, and for each message; of reducers, bytes of the text whose keys they hold, for each byte of a block.
 BLOCK_BYTES, MESSAGE_BYTES, PER_REDUCER = 4 << 20, 1 << 16, 2
-#: A task's memory is so many times a block, at most.
-MEMORY_SHARE = 24
+#: An executor has so many times the bytes of a block for each core, at least: a task works with some ten times them, beside the JVM.
+MEMORY_SHARE = 40
 #: Tasks and reducers at most; beyond, a task has several blocks and a reducer a wider range.
 MOST_TASKS, MOST_REDUCERS = 1 << 17, 1 << 20
 MESSAGE = "to long, block long, kind int, keys binary, extra binary"
