@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
