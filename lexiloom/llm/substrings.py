@@ -43,8 +43,8 @@ def _windows(raw: np.ndarray, off: np.ndarray, width: int):
 
 def _keys(raw: np.ndarray, off: np.ndarray, width: int) -> np.ndarray:
     """The distinct hashes of all windows, in order; slices of the block are hashed one after the other, so that its texts and these are all that is held."""
-    parts = [np.unique(_windows(raw, off[i : j + 1], width)[-1]) for i, j in K.slices(off)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    parts = [K.distinct(_windows(raw, off[i : j + 1], width)[-1]) for i, j in K.slices(off)]
+    return K.distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int | None = None, *, digest: bool = True, keep_text: bool = True) -> DataFrame:
@@ -74,10 +74,12 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         sha, kept_texts, spans = [], [], []
         for low, high in K.slices(off):
             s, e, word_off, at, win = _windows(raw, off[low : high + 1], width)
-            place = np.searchsorted(values, win)
-            met, first = np.unique(place, return_index=True)
+            order = np.argsort(win, kind="stable")
+            inside = win[order]
+            new = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]])) if len(win) else np.zeros(0, np.int64)
+            met = np.searchsorted(values, inside[new])
             hit = np.ones(len(win), bool)
-            hit[first] = again[met]
+            hit[order[new]] = again[met]
             again[met] = True
             gone = K.cover(at[hit], width, len(s))
             removed = np.concatenate([[0], np.cumsum(gone)])
