@@ -49,12 +49,12 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         bad = np.zeros(b - a + 1, bool)  # gram starts that a line feed or the end of a text forbids
         feeds, stops = np.flatnonzero(part == 10), off[i + 1 : j + 1] - a
         bad[feeds] = True
-        ends = np.unique(np.concatenate([feeds, stops]))
+        ends = K.distinct(np.concatenate([feeds, stops]))
         for e in range(1, GRAM):
             at = ends - e
             bad[at[at >= 0]] = True
         starts = np.flatnonzero(~bad[:-1])
-        begins = np.unique(np.concatenate([off[i:j] - a, feeds + 1]))
+        begins = K.distinct(np.concatenate([off[i:j] - a, feeds + 1]))
         begins = begins[begins < b - a]
         begins = begins[part[begins] != 10]
         stop = ends[np.searchsorted(ends, begins, "right")]

@@ -330,8 +330,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes
     all_tokens, all_types, ends = int(tokens.sum()), int(types.sum()), int(tokens[0])
 
     def send(block: int, table: pa.Table) -> pa.Table:
-        parts = [np.unique(_sequence(t["text"])[0]) for t in X.doc_batches(table)]
-        keys = np.unique(np.concatenate(parts))
+        parts = [K.distinct(_sequence(t["text"])[0]) for t in X.doc_batches(table)]
+        keys = K.distinct(np.concatenate(parts))
         return X.rows(X.ask(block, keys[keys != END], n))
 
     def look_up(key: tuple, asked: pa.Table, owned: pa.Table) -> pa.Table:
@@ -354,7 +354,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes
     def finish(block: int, table: pa.Table, back: pa.Table) -> pa.Table:
         found, _ = X.answers(back)
         parts = [_sequence(t["text"]) for t in X.doc_batches(table)]
-        keys = np.unique(np.concatenate([p[0] for p in parts]))
+        keys = K.distinct(np.concatenate([p[0] for p in parts]))
         keys = keys[keys != END]
         known = np.concatenate([_unplanes(x) for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
         cols: list[list] = [[], [], [], []]

@@ -57,7 +57,7 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     pair = K.mix(h[:-1] * np.uint64(K.WORD_BASE) + h[1:]) if len(h) > 1 else h[:0]
     out = []
     for i, j in zip(word_off[:-1].tolist(), word_off[1:].tolist()):
-        out.append(np.unique(pair[i : j - 1]) if j - i > 1 else K.mix(h[i:j] ^ _ONE))
+        out.append(K.distinct(pair[i : j - 1]) if j - i > 1 else K.mix(h[i:j] ^ _ONE))
     return out
 
 

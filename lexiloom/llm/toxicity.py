@@ -97,7 +97,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
         for b in batches:
             label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
             for i, j, h, p, word_off in _doc_tokens(b.column(0)):
-                parts = [np.unique(np.concatenate([h[x:y], p[x:y], [np.uint64(ANY)]])) for x, y in zip(word_off[:-1], word_off[1:])]
+                parts = [K.distinct(np.concatenate([h[x:y], p[x:y], [np.uint64(ANY)]])) for x, y in zip(word_off[:-1], word_off[1:])]
                 size = [len(x) for x in parts]
                 keys = np.repeat(copy_keys(h, word_off).view(np.int64), size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys), pa.array(np.repeat(label[i:j], size))], names=["token", "copy", "toxic"])
