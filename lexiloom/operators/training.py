@@ -74,6 +74,11 @@ def _grouped(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return values, np.add.reduceat(weights[order], first) if len(values) else weights[:0], np.split(order, first[1:])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    s = np.sort(x)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def learn_flat(ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, model: Model, size: int) -> Model:
     """learn_words over all words' ids in one array, linked to their neighbours; an index gives the places of each pair, so that a merge touches
     those alone, and all of them at once. Some 40 bytes a character of the distinct words."""
@@ -97,7 +102,7 @@ def learn_flat(ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, model: Mod
             continue  # an entry of an earlier count; every change pushed its own
         left, right = pair >> 32, pair & 0xFFFFFFFF
         new = model.add(left, right)
-        at = np.unique(np.concatenate(where.pop(pair)))
+        at = _distinct(np.concatenate(where.pop(pair)))
         at = at[(ids[at] == left) & (right_of[at] >= 0)]
         at = at[ids[right_of[at]] == right]  # places that still hold the pair
         if left == right and len(at):  # in a run of hits every other one counts
@@ -106,7 +111,7 @@ def learn_flat(ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, model: Mod
             at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
         gone = right_of[at]
         edges = np.concatenate([left_of[at], at, gone])
-        edges = np.unique(edges[edges >= 0])
+        edges = _distinct(edges[edges >= 0])
         edges = edges[right_of[edges] >= 0]
         old, less, _ = _grouped(code(edges), weight[edges])
         after = right_of[gone]
@@ -114,7 +119,7 @@ def learn_flat(ids: np.ndarray, sizes: np.ndarray, freqs: np.ndarray, model: Mod
         left_of[after[after >= 0]] = at[after >= 0]
         ids[at], ids[gone], right_of[gone] = new, -1, -1
         edges = np.concatenate([left_of[at], at])
-        edges = np.unique(edges[edges >= 0])
+        edges = _distinct(edges[edges >= 0])
         edges = edges[(right_of[edges] >= 0) & (ids[edges] >= 0)]
         fresh, more, groups = _grouped(code(edges), weight[edges])
         delta = dict(zip(fresh.tolist(), more.tolist()))
