@@ -208,3 +208,53 @@ def test_kernel_query_is_the_plain_trainer(spark):
     first = Model(m.tokens[:-40], {t: i for i, t in enumerate(m.tokens[:-40])})
     words = [([first.ids[c] for c in w], f) for w, f in sorted(counts.items())]
     assert plain_words(words, first, len(m.tokens)).merges == m.merges
+
+
+def test_rounds_of_many_merges_are_the_kernel(spark, monkeypatch):
+    """Words beyond what the driver holds: rounds over segments, with few symbols and few pairs allowed, give the same merges."""
+    rng = random.Random(12)
+    freq = {"".join(rng.choices("aaabcde", k=rng.randint(1, 12))): rng.randint(1, 9) for _ in range(400)} | {"a" * 31: 3, "ba" * 9: 2}
+    counts = spark.createDataFrame(list(freq.items()), "word string, freq long")
+    m = start(freq)
+    want = plain_words([([m.ids[c] for c in w], f) for w, f in freq.items()], start(freq), len(m.tokens) + 70)
+    for symbols, known in ((300, 1 << 16), (60, 10), (1, 1)):
+        monkeypatch.setattr(training, "MAX_SYMBOLS", symbols)
+        monkeypatch.setattr(training, "MAX_PAIRS", known)
+        merges = 70 if symbols > 1 else 5
+        got = training.train_words(counts, start(freq), len(m.tokens) + merges)
+        assert list(got.merges.items()) == list(want.merges.items())[:merges], symbols
+
+
+def test_the_driver_gets_segments_not_words(spark, monkeypatch):
+    """A few merges of words that differ in rare characters need a handful of segments."""
+    sizes = []
+    learn = training.learn_flat
+    monkeypatch.setattr(training, "learn_flat", lambda ids, *x: (sizes.append(len(ids)), learn(ids, *x))[1])
+    monkeypatch.setattr(training, "MAX_SYMBOLS", 1000)
+    words = [("ab" + chr(0x4E00 + k) + chr(0x5E00 + k) + "ab", 1) for k in range(2000)]
+    m = training.train_words(spark.createDataFrame(words, "word string, freq long"), start(w for w, _ in words), 4003)
+    assert m.tokens[-1] == "ab" and sizes[0] <= 10
+
+
+@pytest.mark.parametrize("separator", ["|", "<|x|>"])
+def test_a_sequence_is_cut_over_ranges_of_documents(spark, separator):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aab", k=rng.randint(0, 9))) for _ in range(60)] + ["b" * 40, "ab" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    text = separator.join(t for t in texts if t)
+    for merges in (1, 3, 40):
+        m = start([text])
+        want = training.learn_sequence(np.array([m.ids[c] for c in text]), start([text]), len(m.tokens) + merges)
+        assert training.train_sequence(docs, m, len(m.tokens) + merges, separator=separator) == want
+
+
+def test_repeated_words_are_cut_over_ranges_of_places(spark, monkeypatch):
+    monkeypatch.setattr(training.segments, "_SLICE", 64)
+    rng = random.Random(6)
+    rows = [("".join(rng.choices("aabc", k=rng.randint(1, 4))) + str(k % 10), rng.randint(1, 30), k, 0) for k in range(40)] + [("a", 99, 41, 0), (" ", 5, 42, 0), ("aq", 3, 43, 0)]
+    seen = spark.createDataFrame(rows, "word string, freq long, first_doc int, first_pos int").repartition(3)
+    text = "".join(w.replace("q", "") * f for w, f, _, _ in rows if w.strip())
+    for merges in (1, 3, 40):
+        m = start([text])
+        want = training.learn_sequence(np.array([m.ids[c] for c in text]), start([text]), len(m.tokens) + merges)
+        assert training.train_repeat(seen, m, len(m.tokens) + merges) == want
