@@ -258,3 +258,18 @@ def test_repeated_words_are_cut_over_ranges_of_places(spark, monkeypatch):
         m = start([text])
         want = training.learn_sequence(np.array([m.ids[c] for c in text]), start([text]), len(m.tokens) + merges)
         assert training.train_repeat(seen, m, len(m.tokens) + merges) == want
+
+
+@pytest.mark.parametrize("rows", [[("ab", 9), (" the", 9000), ("xe", 2), (" the", 4096), ("b", 5)], [("a", 9001), ("ba", 5003), ("ab", 3)]])
+def test_repetitions_reach_the_driver_as_windows(spark, monkeypatch, rows):
+    """So that its memory does not grow with the frequency of the commonest word; where a symbol is merged with itself, they come as they are."""
+    sizes = []
+    learn = training.learn_flat
+    monkeypatch.setattr(training, "learn_flat", lambda ids, *x: (sizes.append(len(ids)), learn(ids, *x))[1])
+    seen = spark.createDataFrame([(w, f, k, 0) for k, (w, f) in enumerate(rows)], "word string, freq long, first_doc int, first_pos int")
+    text = "".join(w * f for w, f in rows)
+    for merges in (1, 3, 5):
+        m = start([text])
+        want = training.learn_sequence(np.array([m.ids[c] for c in text]), start([text]), len(m.tokens) + merges)
+        assert training.train_repeat(seen, m, len(m.tokens) + merges) == want
+    assert sizes[0] < len(text) * (0.8 if rows[0][0] == "ab" else 2)
