@@ -26,3 +26,19 @@ def folder(tmp_path_factory):
 def test_a_folder_of_files(spark, folder, name):
     path, con = folder
     compare(registry.QUERIES[name](spark, path), con, registry.ORACLE_SQL[name])
+
+
+def test_numbers_where_partitions_are_put_together(spark):
+    """Partitions of a plan that is used twice need not be the same ones."""
+    from lexiloom.sources import readers
+
+    df = spark.range(0, 40000, 1, 16).selectExpr("id AS place", "concat(id, ' ', concat_ws('', transform(sequence(1, 8), k -> sha2(cast(id * 10 + k AS string), 256)))) AS text")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        got = sorted((r.doc_no, int(r.id)) for r in readers.numbered(df).selectExpr("doc_no", "split(text, ' ')[0] AS id").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == [(k, k) for k in range(40000)]
