@@ -131,3 +131,33 @@ def test_checkpoints(spark, tmp_path):
     assert [tuple(r) for r in words.orderBy("first_pos").collect()] == [("b", 1, 0, 0), (" a", 2, 0, 1), (" c", 1, 0, 2)] and least == 1
     with pytest.raises(ValueError):
         sinks.load_sp_state(p)
+
+
+def test_json_lists_are_read_item_by_item(spark, tmp_path):
+    """Also where quotes are escaped, items nest and the file is cut into many splits."""
+    texts = ['a "b" \\', '\\"', "", None, "],[{}", "é\n", *(f'x"{k}\\' * (k % 7) for k in range(300))]
+    items = [{"k": [1, {"text": "no", "x": ["]"]}], "text": t} for t in texts] + ["plain, \"q\" {", "{\"text\": 1}", 7, None]
+    path = tmp_path / "c.json"
+    path.write_text("﻿ " + json.dumps(items, indent=1), encoding="utf-8")
+    (tmp_path / "empty.json").write_text(" [ ] ")
+    (tmp_path / "bad.json").write_text('[{"text": "a"}, ')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = [r.text for r in readers.read_corpus(spark, str(path)).orderBy("place").collect()]
+        assert got == [t for t in texts if t] + ['plain, "q" {', '{"text": 1}', "7"]
+        assert readers.read_corpus(spark, str(tmp_path / "empty.json")).count() == 0
+        with pytest.raises(Exception, match="no JSON"):
+            readers.read_corpus(spark, str(tmp_path / "bad.json")).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_no_more_than_an_item_is_held():
+    j, most = readers._JsonItems("f"), 0
+    for piece in ('[{"text": "ab"}' + ', {"text": "ab"}' * 5000 + "]").split('"'):
+        list(j.feed(piece))
+        most = max(most, sum(map(len, j.part)))
+    assert j.row == 5001 and most < 20
