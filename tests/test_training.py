@@ -273,3 +273,23 @@ def test_repetitions_reach_the_driver_as_windows(spark, monkeypatch, rows):
         want = training.learn_sequence(np.array([m.ids[c] for c in text]), start([text]), len(m.tokens) + merges)
         assert training.train_repeat(seen, m, len(m.tokens) + merges) == want
     assert sizes[0] < len(text) * (0.8 if rows[0][0] == "ab" else 2)
+
+
+def test_violations_encode_once(spark, monkeypatch):
+    m = model()
+    m.tokens.append("<|unk|>")
+    m.ids["<|unk|>"] = 5
+    df = spark.createDataFrame([(1, "abc"), (2, "abz"), (3, None), (4, "")], "doc_id int, text string").localCheckpoint()
+    got = codec.violations(df, m)
+    assert [tuple(r) for r in got.collect()] == [(2, "abz", "ab<|unk|>")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 1, plan
+
+
+def test_only_texts_with_control_tokens_are_searched_for_them(spark):
+    m = model()
+    m.tokens += ["<", "|", "<|bos|>", "<|unk|>"]
+    m.ids |= {"<": 5, "|": 6, "<|bos|>": 7, "<|unk|>": 8}
+    for text, want in (("abc", [4, 2]), ("ab<|bos|>ab", [4, 7, 4]), ("a<|b", [0, 5, 6, 1]), ("<|bos|>", [7])):
+        assert encoded(spark, text, m) == want, text
+    assert "CASE WHEN Contains" in spark.createDataFrame([("a",)], "text string").select(codec.encode("text", m))._jdf.queryExecution().optimizedPlan().toString()
