@@ -161,3 +161,17 @@ def test_no_more_than_an_item_is_held():
         list(j.feed(piece))
         most = max(most, sum(map(len, j.part)))
     assert j.row == 5001 and most < 20
+
+
+def test_a_data_set_is_read_by_the_column_that_is_asked_for(spark):
+    from lexiloom.plans.files import _Rows
+
+    asked = []
+
+    class Rows(_Rows):
+        def select_columns(self, names):
+            asked.append(names)
+            return super().select_columns(names)
+
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, "b")], "i int, text string")
+    assert sorted(r.text for r in readers.read_corpus(spark, Rows(df)).collect()) == ["a", "b"] and asked == [["text"]]
