@@ -293,3 +293,17 @@ def test_only_texts_with_control_tokens_are_searched_for_them(spark):
     for text, want in (("abc", [4, 2]), ("ab<|bos|>ab", [4, 7, 4]), ("a<|b", [0, 5, 6, 1]), ("<|bos|>", [7])):
         assert encoded(spark, text, m) == want, text
     assert "CASE WHEN Contains" in spark.createDataFrame([("a",)], "text string").select(codec.encode("text", m))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_documents_whose_ids_repeat(spark):
+    from lexiloom.operators import pairs, wordfreq
+
+    rows = [(1, "abab cd 😀😀"), (1, "ab"), (None, "ab"), (None, "ab\nd"), (2, ""), (3, None), (4, "x"), (5, "é ab  12345")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for d in (docs, docs.where("doc_id > 1")):
+        want = Counter((r.doc_id, *p) for r in wordfreq.chunks(d).collect() for p in zip(r.word, r.word[1:]))
+        found = pairs.document_pairs(d)
+        assert {(r.doc_id, r.left, r.right): r.n for r in found.collect()} == want
+        assert found.count() == len(want)
+    once = pairs.document_pairs(docs.where("doc_id > 1"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in once  # no row of a pair is shuffled
