@@ -313,19 +313,19 @@ def held_out(doc_id: Column) -> Column:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES, block_bytes: int | None = None) -> DataFrame:
-    """Train on the rows that are not held out, then score every row (SCORES)."""
+def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES, block_bytes: int | None = None, *, fitted: bool = True) -> DataFrame:
+    """Train on the rows that are not held out, then score every row (SCORES). If not fitted, words are only counted: no model is learned, and the score is null."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = docs.where(~F.col("held_out")).select("text")
     blocks = X.in_blocks(docs, "text", None, block_bytes)
     n = blocks.reducers
     counts = checkpoint(count(train, n))
     pairs = np.zeros((CLASSES, CLASSES))
-    for r in counts.where(F.col("kind") == X.KEEP).select("to", "extra").collect():  # CLASSES rows at most
+    for r in counts.where(F.col("kind") == X.KEEP).select("to", "extra").collect() if fitted else ():  # CLASSES rows at most
         pairs[r.to] = np.frombuffer(r.extra, np.int64)
     tokens, types = class_totals(counts)
-    m = first_model(pairs)
-    for _ in range(passes):
+    m = first_model(pairs) if fitted else None
+    for _ in range(passes if fitted else 0):
         m = baum_welch(train, m)
     all_tokens, all_types, ends = int(tokens.sum()), int(types.sum()), int(tokens[0])
 
@@ -367,8 +367,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes
             cols[0].append(size)
             cols[1].append(np.add.reduceat((cnt > 0).astype(np.int64), off[:-1]))
             cols[2].append(words - size * np.log10(all_tokens + all_types + 1.0))
-            cols[3].append(np.add.reduceat(log - per_class[c], off[:-1]) + forward(m, c, off) / np.log(10))
+            cols[3].append(np.add.reduceat(log - per_class[c], off[:-1]) + forward(m, c, off) / np.log(10) if m else np.zeros(len(size)))
         size, some, base, score = (np.concatenate(c) for c in cols)
-        return pa.Table.from_arrays([table["doc_id"], table["held_out"], pa.array(size, pa.int64()), pa.array(some, pa.int64()), pa.array(np.full(len(size), all_tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.Table.from_arrays([table["doc_id"], table["held_out"], pa.array(size, pa.int64()), pa.array(some, pa.int64()), pa.array(np.full(len(size), all_tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()) if m else pa.nulls(len(score), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return X.answered(blocks, replies, finish, SCORES)

@@ -152,3 +152,12 @@ def test_query_over_a_whole_table(spark):
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)  # better than the unigram base on texts not trained on
     assert np.mean([g[6] > g[5] for g in held]) > 0.9
+
+
+def test_scores_of_single_words_need_no_model(spark, monkeypatch):
+    whole = queries.op10_hmm(spark, "/root/testdata/sf0.001").drop("score").collect()
+    monkeypatch.setattr(hmm, "baum_welch", None)
+    monkeypatch.setattr(hmm, "first_model", None)
+    few = hmm.scores(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), fitted=False)
+    assert few.where("score IS NOT NULL").count() == 0 and sorted(few.drop("score").collect(), key=str) == sorted(whole, key=str)
+    assert queries.base_scores(spark, "/root/testdata/sf0.001").count() == len(whole)
