@@ -307,3 +307,25 @@ def test_pairs_of_documents_whose_ids_repeat(spark):
         assert found.count() == len(want)
     once = pairs.document_pairs(docs.where("doc_id > 1"))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in once  # no row of a pair is shuffled
+
+
+def test_encoding_takes_small_batches_and_no_pandas(spark):
+    from lexiloom.plans import registry
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    found = registry.QUERIES["encode"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "2000" and found.count() == 200
+    texts = [None, "", "ab", None, "abc<|pad|>ab", "c" * 9000] * 3
+    m = start(["abc", "<|pad|>"])
+    m.ids["<|pad|>"] = len(m.tokens)
+    m.tokens.append("<|pad|>")
+    m.add(m.ids["a"], m.ids["b"])
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    spark.conf.set(key, "4")
+    try:
+        ids = d.select("i", codec.encode("text", m).alias("ids"), codec.decode(codec.encode("text", m), m).alias("back")).orderBy("i").collect()
+    finally:
+        spark.conf.unset(key)
+    assert [r.back for r in ids] == texts
+    assert ids[0].ids is None and ids[1].ids == [] and [m.tokens[i] for i in ids[4].ids] == ["ab", "c", "<|pad|>", "ab"]
