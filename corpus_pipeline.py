@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import bpe, language, mixing, neardup, substrings
 from lexiloom.llm.queries import VOCABULARY, frugal
-from lexiloom.llm.storage import checkpoint
+from lexiloom.llm.storage import settled
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -65,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = checkpoint(docs)
+            docs = settled(docs)
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from lexiloom.llm.storage import checkpoint
+from lexiloom.llm.storage import settled
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A hub's links are pre-aggregated before they are shuffled, and no group of neighbours is gathered. Each round is
     checkpointed; their number grows with the logarithm of the longest path.
     """
-    e = checkpoint(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    e = settled(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     last = None
     while True:
         # large star: the greater neighbours of u are linked to the least of u and its neighbours
@@ -27,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: u and its lesser neighbours are linked to the least of these
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
-        e = checkpoint(small.select("hi", F.col("m").alias("lo")).unionByName(small.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
+        e = settled(small.select("hi", F.col("m").alias("lo")).unionByName(small.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == last:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

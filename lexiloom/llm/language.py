@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels as K
 from lexiloom.llm.rows import packed, unpacked
-from lexiloom.llm.storage import checkpoint
+from lexiloom.llm.sieve import without
+from lexiloom.llm.storage import checkpoint, settled
 
 BUCKETS = 1 << 15
 #: Of all rows, for a language to count: none, so that no result turns on how many other rows there are.
@@ -240,5 +241,5 @@ def kept_documents(df: DataFrame) -> DataFrame:
     """The documents that are not rejected: the same rows and columns. Rows alike in id, text, declaration and source share their fate."""
     key = F.xxhash64("doc_id", "text", "lang", "source")
     r = df.select(key.alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
-    gone = identify(r).where(~F.col("kept")).select("id").distinct()
-    return unpacked(packed(df, id=key).join(gone, "id", "left_anti"))
+    gone = settled(identify(r).where(~F.col("kept")).select("id").distinct())
+    return unpacked(without(packed(df, id=key), gone, "id"))

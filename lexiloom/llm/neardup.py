@@ -35,7 +35,8 @@ from pyspark.sql.types import DoubleType
 from lexiloom.llm import kernels as K
 from lexiloom.llm.graph import components
 from lexiloom.llm.rows import packed, row_hash, unpacked
-from lexiloom.llm.storage import checkpoint
+from lexiloom.llm.sieve import among, without
+from lexiloom.llm.storage import settled
 
 ROWS, BANDS = 5, 48
 REGISTERS = ROWS * BANDS
@@ -250,14 +251,14 @@ def judged(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, su
     rid, tie = _row_key(id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), rid.alias("rid"), tie.alias("tie"), text.alias("text"))
-    sketch = checkpoint(sketches(docs))
+    sketch = settled(sketches(docs))
 
     keys = F.array(*(F.xxhash64(F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS), F.lit(k)) for k in range(BANDS)))
     bands = sketch.where("node is not null").select("node", F.explode(keys).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot")
-    members = checkpoint(bands.join(shared, "band").groupBy("band", "node").agg(F.min("pivot").alias("pivot")))
+    shared = settled(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("band", "pivot"))
+    members = settled(bands.where(among(shared, "band")).join(shared, "band").groupBy("band", "node").agg(F.min("pivot").alias("pivot")))
 
-    wanted = members.select("node").distinct().join(sketch.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n")), "node")
+    wanted = settled(members.select("node").distinct().join(sketch.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n")), "node"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -268,18 +269,18 @@ def judged(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, su
                 part = part.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in regs], pa.binary())], names=["node", "n", "text", "regs"])
 
-    nodes = checkpoint(docs.select("rid", "text").join(wanted, "rid").select("node", "n", "text").mapInArrow(K.calm(again), "node long, n long, text string, regs binary").dropDuplicates(["node"]))
+    nodes = settled(docs.select("rid", "text").where(among(wanted, "rid")).join(wanted, "rid").select("node", "n", "text").mapInArrow(K.calm(again), "node long, n long, text string, regs binary").dropDuplicates(["node"]))
 
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     maybe = estimated(pairs, nodes, percent, sure)
     best = maybe.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
-    links = checkpoint(verified(best, nodes, percent))
+    links = settled(verified(best, nodes, percent))
 
     label = components(links)
     placed = members.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
     open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
     rest = placed.join(open_, "band").select("node", "comp").distinct()
-    links = checkpoint(links.unionByName(verified(across(rest, nodes, percent), nodes, percent)))
+    links = settled(links.unionByName(verified(across(rest, nodes, percent), nodes, percent)))
 
     label = components(links)
     first = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tie")).alias("key"))
@@ -296,12 +297,12 @@ def judged(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, su
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each component, that of the least id; all columns pass through."""
     rid, tie = _row_key(id_col, text_col)
-    keys = checkpoint(judged(df, id_col, text_col, **how).groupBy("rid", "tie").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"))
+    keys = settled(judged(df, id_col, text_col, **how).groupBy("rid", "tie").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"))
     docs = packed(df, rid=rid, tie=tie, content=row_hash(df))
-    left = docs.join(keys, ["rid", "tie"], "left_anti").select("row")
+    left = without(docs, keys, "rid", "tie").select("row")
     several = keys.where("stay > 0").select("rid", "tie")
     if several.isEmpty():
         return unpacked(left)
-    copies = docs.join(several, ["rid", "tie"])  # rows of equal id and text
+    copies = docs.where(among(several, "rid", "tie")).join(several, ["rid", "tie"])  # rows of equal id and text
     place = F.row_number().over(Window.partitionBy("rid", "tie").orderBy("content"))
     return unpacked(left.unionByName(copies.withColumn("place", place).where("place = 1").select("row")))
